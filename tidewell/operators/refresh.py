@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Rollup = Callable[[DataFrame], DataFrame]
@@ -44,7 +45,11 @@ def full_build(source: DataFrame, rollup: Rollup, path: str, month_col: str) ->
 def refresh_cutoff(spark: SparkSession, path: str, month_col: str,
                    lookback_months: int = 1):
     """First day of the oldest month to rebuild, or None for an empty table."""
-    last = read_table(spark, path, month_col).agg(F.max(month_col)).first()[0]
+    try:
+        target = read_table(spark, path, month_col)
+    except AnalysisException:            # folder without data files yet
+        return None
+    last = target.agg(F.max(month_col)).first()[0]
     if last is None:
         return None
     return spark.range(1).select(F.add_months(F.lit(last), -lookback_months)).first()[0]

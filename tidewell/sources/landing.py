@@ -87,7 +87,9 @@ def read_time_series(spark: SparkSession, path: str, guard: bool = True) -> Data
     """Nested daily series (SRC7): first series, first values block, one row
     per (dateTime, value) point; a document without a series raises."""
     doc = spark.read.schema(FLOW_SCHEMA).option("multiLine", True).json(path)
-    pts = doc.select(F.explode(F.expr("value.timeSeries[0]['values'][0]['value']")).alias("p"))
+    first_series = F.get(F.col("value.timeSeries"), 0)
+    first_block = F.get(first_series.getField("values"), 0)
+    pts = doc.select(F.explode(first_block.getField("value")).alias("p"))
     out = pts.select(F.col("p.dateTime").alias("obs_date"), F.col("p.value").alias("value"))
     return require_rows(out, path) if guard else out
 
