@@ -58,12 +58,21 @@ def extremes(df: DataFrame, date_col: str, specs: Sequence[Extreme],
                .filter(F.col(date_col).isNotNull()))
 
 
-def hash_sample(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
+def row_text(cols) -> Column:
+    """Every column as text, NULL-safe, joined with a separator no feed uses."""
+    return F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
+                                   for c in cols])
+
+
+def hash_sample(df: DataFrame, n: int, key: str | None, seed: str = "42") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by ``md5(key || seed)`` (SMP1).
 
-    Repeatable for a given seed and independent of partitioning; ``key``
-    must be unique.  Planned as ``TakeOrderedAndProject`` (n rows per task).
+    Repeatable for a given seed and independent of partitioning.  ``key``
+    should be unique; with ``key=None`` the whole row is hashed, so only
+    identical rows can tie (and any of them is the same row).  Planned as
+    ``TakeOrderedAndProject``: n rows per task, no shuffle of the data.
     """
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-    return (df.withColumn("__h", h)
-              .orderBy(F.asc("__h"), F.asc(key)).limit(n).drop("__h"))
+    base = F.col(key).cast("string") if key else row_text(df.columns)
+    h = F.md5(F.concat(base, F.lit(seed)))
+    order = [F.asc("__h")] + ([F.asc(key)] if key else [])
+    return df.withColumn("__h", h).orderBy(*order).limit(n).drop("__h")

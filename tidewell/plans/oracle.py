@@ -525,3 +525,7 @@ SQL["landing_roundtrip"] = """
 select o_orderkey, o_totalprice, cast(o_orderdate as date) as order_date, o_orderpriority,
        f.landed_as
 from orders, (values ('csv'), ('json')) f(landed_as)"""
+
+from tidewell.plans.civic_queries import CIVIC_SQL  # noqa: E402
+
+SQL.update(CIVIC_SQL)
