@@ -249,3 +249,21 @@ def test_incremental_refresh_matches_full(spark, raw, built):
     M.build_warehouse(spark, raw2, out, names=["mart_crime_monthly"], incremental=True)
     got = sorted((r["crime_month"], r["incident_count"]) for r in mart(spark, built, "mart_crime_monthly"))
     assert got == [(dt.date(2024, 1, 1), 2), (dt.date(2024, 2, 1), 2)]
+
+
+def test_civic_quality_and_freshness(spark, built):
+    from tidewell.plans.civic_quality import CIVIC_CHECKS, civic_freshness, civic_quality_report
+    frames = M.warehouse_frames(spark, built[0])
+    assert "stg_crime" in frames and "mart_metrics" in frames
+    rep = {(r.table_name, r.check_name, r.column_name): (r.failures, r.status)
+           for r in civic_quality_report(spark, frames).collect()}
+    assert len(rep) == len(CIVIC_CHECKS)
+    assert rep[("stg_crime", "not_null", "report_datetime")] == (1, "error")
+    assert rep[("stg_crime", "unique", "offense_id")] == (0, "pass")
+    assert rep[("stg_trees", "accepted_values", "condition")] == (2, "error")
+    assert rep[("mart_build_info", "accepted_range", "total_records")] == (1, "error")
+    assert rep[("mart_csr_map_sample", "relationships", "request_number")] == (0, "pass")
+    assert rep[("stg_air_quality", "unique_combination", "site,obs_date,pollutant")] == (0, "pass")
+    fr = {r.feed: (r.age_days, r.status) for r in civic_freshness(frames, "2024-03-01").collect()}
+    assert fr == {"stg_building_permits": (20, "pass"), "stg_crime": (27, "warn"),
+                  "stg_csr_311": (-19, "pass")}

@@ -642,3 +642,17 @@ def read_mart(spark: SparkSession, out_dir: str, name: str, ordered: bool = True
         df = df.orderBy(*[F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k)
                           for k in MART_ORDER[name]])
     return df
+
+
+def warehouse_frames(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """Every built staging table (as ``stg_<feed>``) and mart under ``out_dir``."""
+    import os
+    frames: dict[str, DataFrame] = {}
+    for kind, prefix in (("staging", "stg_"), ("marts", "")):
+        base = f"{out_dir}/{kind}"
+        local = base[len("file:"):] if base.startswith("file:") else base
+        names = sorted(os.listdir(local)) if os.path.isdir(local) else []
+        for n in names:
+            frames[prefix + n] = (read_mart(spark, out_dir, n, ordered=False) if kind == "marts"
+                                  else spark.read.parquet(f"{base}/{n}"))
+    return frames
