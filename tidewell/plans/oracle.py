@@ -529,3 +529,5 @@ from orders, (values ('csv'), ('json')) f(landed_as)"""
 from tidewell.plans.civic_queries import CIVIC_SQL  # noqa: E402
 
 SQL.update(CIVIC_SQL)
+
+SQL["stream_refresh"] = SQL["month_refresh"]
