@@ -47,3 +47,14 @@ def test_extremes(spark):
 def test_top_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 7.0), (3, 7.0)], "k int, v double")
     assert [r.k for r in top_rows(df, [F.desc("v"), F.asc("k")], 2).collect()] == [2, 3]
+
+
+def test_hash_sample_equals_brute_force(spark):
+    import hashlib
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"))
+    for n in (1, 37, 300, 4999, 5000, 6000):
+        got = [r.k for r in hash_sample(df, n, "k", seed="s").collect()]
+        want = sorted(range(5000), key=lambda k: (hashlib.md5(f"{k}s".encode()).hexdigest(), k))[:n]
+        assert got == want, n
+    rows = [r.g for r in hash_sample(df.select("g"), 3, None).collect()]
+    assert len(rows) == 3

@@ -64,15 +64,44 @@ def row_text(cols) -> Column:
                                    for c in cols])
 
 
+def _hash_bucket(h: Column) -> tuple[Column, Column]:
+    """(leading zero hex digits, first non-zero digit) of a hex digest: the
+    digest order is (zeros desc, digit asc, rest asc)."""
+    zeros = F.length(F.regexp_extract(h, r"^0*", 0))
+    digit = F.coalesce(F.conv(F.substring(h, zeros + 1, 1), 16, 10).cast("int"), F.lit(0))
+    return zeros, digit
+
+
 def hash_sample(df: DataFrame, n: int, key: str | None, seed: str = "42") -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, chosen by ``md5(key || seed)`` (SMP1).
+    """Exactly ``min(n, rows)`` rows, the ones with the smallest
+    ``md5(key || seed)`` (SMP1).
 
     Repeatable for a given seed and independent of partitioning.  ``key``
     should be unique; with ``key=None`` the whole row is hashed, so only
-    identical rows can tie (and any of them is the same row).  Planned as
-    ``TakeOrderedAndProject``: n rows per task, no shuffle of the data.
+    identical rows can tie (and any of them is the same row).
+
+    Two passes keep it exact and bounded at any size: a histogram of the
+    digest's leading hex digits (at most 13 x 16 buckets reach the driver)
+    picks the smallest digest prefix that still holds at least ``n`` rows;
+    only rows under that prefix (about ``n`` to ``16 n``, since digests are
+    uniform) go into the final ``TakeOrderedAndProject``, instead of ``n``
+    rows from every input split.
     """
     base = F.col(key).cast("string") if key else row_text(df.columns)
-    h = F.md5(F.concat(base, F.lit(seed)))
+    hashed = df.withColumn("__h", F.md5(F.concat(base, F.lit(seed))))
+    zeros, digit = _hash_bucket(F.col("__h"))
+    hist = (hashed.groupBy(zeros.alias("z"), digit.alias("d")).count()
+                  .collect())                                   # <= 208 rows
+    buckets = sorted(((r["z"], r["d"], r["count"]) for r in hist), key=lambda t: (-t[0], t[1]))
+    total, cut = 0, None
+    for z, d, c in buckets:
+        total += c
+        cut = (z, d)
+        if total >= n:
+            break
     order = [F.asc("__h")] + ([F.asc(key)] if key else [])
-    return df.withColumn("__h", h).orderBy(*order).limit(n).drop("__h")
+    if cut is None:                                             # empty input
+        return hashed.limit(0).drop("__h")
+    z_cut, d_cut = cut
+    cand = hashed.filter((zeros > z_cut) | ((zeros == z_cut) & (digit <= d_cut)))
+    return cand.orderBy(*order).limit(n).drop("__h")

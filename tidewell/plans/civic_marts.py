@@ -644,15 +644,23 @@ def read_mart(spark: SparkSession, out_dir: str, name: str, ordered: bool = True
     return df
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders of ``path`` on any Hadoop file system
+    (local, HDFS, object store); empty when ``path`` does not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
+
+
 def warehouse_frames(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     """Every built staging table (as ``stg_<feed>``) and mart under ``out_dir``."""
-    import os
     frames: dict[str, DataFrame] = {}
     for kind, prefix in (("staging", "stg_"), ("marts", "")):
         base = f"{out_dir}/{kind}"
-        local = base[len("file:"):] if base.startswith("file:") else base
-        names = sorted(os.listdir(local)) if os.path.isdir(local) else []
-        for n in names:
+        for n in list_folders(spark, base):
             frames[prefix + n] = (read_mart(spark, out_dir, n, ordered=False) if kind == "marts"
                                   else spark.read.parquet(f"{base}/{n}"))
     return frames

@@ -26,9 +26,35 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (hundreds of executors, tens of TB per job).
+# Shuffle partitions start high and AQE coalesces them to ~256 MB each, so
+# small stages do not pay for the large default; skewed partitions above
+# 512 MB (and 5x the median) are split by AQE; scans read 256 MB splits.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
+
+
+def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20,
+                               floor: int = 8, cap: int = 100_000) -> int:
+    """Shuffle partitions for a job reading ``input_bytes``: one per
+    ``target_bytes`` of input (an upper bound of shuffle size for these
+    aggregating jobs); AQE coalesces the rest at run time."""
+    return max(floor, min(cap, -(-input_bytes // target_bytes)))
+
+
 def get_session(master: str | None = None, app: str = "tidewell",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, profile: str = "local") -> SparkSession:
     """Build (or reuse) a session with the engine's fixed settings.
 
     ``master`` is only set when given, so on a cluster the launcher's master
@@ -39,6 +65,8 @@ def get_session(master: str | None = None, app: str = "tidewell",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
