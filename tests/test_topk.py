@@ -58,3 +58,14 @@ def test_hash_sample_equals_brute_force(spark):
         assert got == want, n
     rows = [r.g for r in hash_sample(df.select("g"), 3, None).collect()]
     assert len(rows) == 3
+
+
+def test_top_rows_with_cutoff_equals_plain(spark):
+    import datetime as dt
+    rows = [(i, dt.date(2020, 1, 1 + (i * 7) % 28) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, d date")
+    order = [F.desc("d"), F.asc("k")]
+    for n in (1, 10, 57, 320, 400, 500):
+        a = [tuple(r) for r in top_rows(df, order, n).collect()]
+        b = [tuple(r) for r in top_rows(df, order, n, cutoff_key="d").collect()]
+        assert a == b, n

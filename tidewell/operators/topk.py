@@ -14,9 +14,33 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """Global top-N rows (TOP1, TOP2); ``order`` should be total."""
-    return df.orderBy(*order).limit(n)
+def top_rows(df: DataFrame, order: Sequence[Column], n: int,
+             cutoff_key: str | None = None, descending: bool = True) -> DataFrame:
+    """Global top-N rows (TOP1, TOP2); ``order`` should be total.
+
+    For large ``n`` give ``cutoff_key``: the leading sort column, when it
+    has a bounded number of distinct values (a date, a year).  Its value
+    histogram (one row per distinct value) picks the exact cutoff that keeps
+    at least ``n`` rows, so the final merge sees about ``n`` rows rather
+    than ``n`` from every input split.  Rows with a NULL key sort last and
+    are only needed when fewer than ``n`` others exist.
+    """
+    if cutoff_key is None:
+        return df.orderBy(*order).limit(n)
+    hist = (df.filter(F.col(cutoff_key).isNotNull())
+              .groupBy(cutoff_key).count().collect())          # bounded by distinct keys
+    hist.sort(key=lambda r: r[0], reverse=descending)
+    total, cut = 0, None
+    for r in hist:
+        total += r["count"]
+        cut = r[0]
+        if total >= n:
+            break
+    if cut is None or total < n:
+        return df.orderBy(*order).limit(n)
+    k = F.col(cutoff_key)
+    cand = df.filter(k >= F.lit(cut) if descending else k <= F.lit(cut))
+    return cand.orderBy(*order).limit(n)
 
 
 @dataclass(frozen=True)

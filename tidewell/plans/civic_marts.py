@@ -297,7 +297,8 @@ def mart_permits_map_sample(s: Frames, n: int = 5000) -> DataFrame:
          .filter(F.col("issue_date").isNotNull() & C.in_box("latitude", "longitude"))
          .select("permit_number", "permit_class", "permit_type_desc", "valuation", "issue_date",
                  "address", "latitude", "longitude"))
-    return top_rows(p, [F.desc("issue_date"), F.asc_nulls_last("permit_number")], n)
+    return top_rows(p, [F.desc("issue_date"), F.asc_nulls_last("permit_number")], n,
+                    cutoff_key="issue_date")
 
 
 def permits_monthly_rollup(df: DataFrame) -> DataFrame:

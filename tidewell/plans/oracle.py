@@ -396,6 +396,22 @@ from c"""
 
 SQL["hex_bins"] = _hex_sql()
 
+SQL["cell_samples"] = """
+with r as (
+    select user_id, event_id, event_type, value,
+           row_number() over (partition by user_id
+                              order by md5(cast(event_id as varchar) || '42'), event_id) as rn
+    from events
+)
+select user_id, event_id, event_type, value from r where rn <= 12"""
+
+SQL["recovery"] = MONTHLY + f""", m as (select month, cast(total as double) as total from monthly)
+select arg_max(total, month) as latest_total,
+       max(total) filter (where month < date '2000-03-01') as peak_before,
+       {FIX('arg_max(total, month) / nullif(max(total) filter (where month < date ' + "'2000-03-01'" + '), 0.0)', 4)} as recovery_ratio,
+       {FIX('arg_max(total, month) * 100.0 / cast(sum(cast(total as decimal(18,2))) as double)', 4)} as latest_share_pct
+from m"""
+
 SQL["dq_report"] = """
 select * , case when failures = 0 then 'pass' else severity end as status from (
   select 'lineitem' as table_name, 'not_null' as check_name, 'l_orderkey' as column_name,
