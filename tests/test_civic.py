@@ -241,13 +241,15 @@ def test_permits_build_info_metrics(spark, built):
     assert metrics["pct_good_or_moderate_air_days"] == 50.0
 
 
-def test_incremental_refresh_matches_full(spark, raw, built):
-    out, _ = built
+def test_incremental_refresh_matches_full(spark, raw):
+    out = shared_dir(spark, "test_civic_inc", fresh=True)
+    M.build_warehouse(spark, raw, out, names=["mart_crime_monthly"])
+    assert M.list_folders(spark, f"{out}/staging") == ["crime"]
     extra = text_df(spark, raw["crime"].columns, [
         ("R9", "9", "2024-02-20T10:00:00", None, "THEFT", None, "d", "PROPERTY", "a", "n", "b", "p", "47.6", "-122.3")])
     raw2 = dict(raw, crime=raw["crime"].unionByName(extra))
     M.build_warehouse(spark, raw2, out, names=["mart_crime_monthly"], incremental=True)
-    got = sorted((r["crime_month"], r["incident_count"]) for r in mart(spark, built, "mart_crime_monthly"))
+    got = sorted((r["crime_month"], r["incident_count"]) for r in mart(spark, (out,), "mart_crime_monthly"))
     assert got == [(dt.date(2024, 1, 1), 2), (dt.date(2024, 2, 1), 2)]
 
 

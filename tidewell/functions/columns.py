@@ -89,13 +89,13 @@ TREES_BOX = ((47.4, 47.8), (-122.5, -122.2))
 # microseconds per bad value; the results are unchanged.
 _INT_TEXT = r"^\s*[+-]?\d+\s*$"
 _NUM_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_SPECIAL_TEXT = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
+_DOUBLE_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 
 
 def lenient_double(c: ColumnOrName) -> Column:
     """Text -> double; unparseable text -> NULL (surrounding blanks allowed)."""
     c = _c(c)
-    return F.when(c.rlike(_NUM_TEXT) | c.rlike(_SPECIAL_TEXT), c.try_cast("double"))
+    return F.when(c.rlike(_DOUBLE_TEXT), c.try_cast("double"))
 
 
 def lenient_int(c: ColumnOrName, type_: str = "int") -> Column:

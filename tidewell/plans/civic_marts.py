@@ -594,8 +594,16 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
     refresh their trailing window instead of being rebuilt.
     """
     from tidewell.operators.refresh import full_build, refresh
+    needed = None
+    if names:
+        needed = set()
+        for n in names:
+            for d in MARTS.get(n, ((),))[0]:
+                needed.add("food_inspections" if d == "mart_inspections" else d)
     staged = {}
     for feed, df in staging_frames(raw).items():
+        if needed is not None and feed not in needed:
+            continue
         path = f"{out_dir}/staging/{feed}"
         df.write.mode("overwrite").parquet(path)
         staged[feed] = spark.read.parquet(path)

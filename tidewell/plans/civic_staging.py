@@ -242,14 +242,18 @@ def stg_trees(raw: DataFrame) -> DataFrame:
 
 def stg_weather(raw: DataFrame) -> DataFrame:
     def num(name):
-        return C.lenient_double(F.trim(F.col(name).cast("string")))
-    prcp, snow, snwd, tmax, tmin = (num(n) for n in ("PRCP", "SNOW", "SNWD", "TMAX", "TMIN"))
-    out = raw.select(typed(raw, "DATE", "date").alias("obs_date"),
-                     (prcp / 10.0).alias("precip_mm"), (prcp / 10.0 / 25.4).alias("precip_in"),
-                     snow.alias("snow_mm"), snwd.alias("snow_depth_mm"),
-                     (tmax / 10.0).alias("tmax_c"), (tmin / 10.0).alias("tmin_c"),
-                     (tmax / 10.0 * 9 / 5 + 32).alias("tmax_f"),
-                     (tmin / 10.0 * 9 / 5 + 32).alias("tmin_f"))
+        return C.lenient_double(F.trim(F.col(name).cast("string"))).alias(name)
+    # parse each field once; the derived columns below reuse the parsed value
+    # (Catalyst keeps a costly expression unduplicated when projects merge)
+    parsed = raw.select(typed(raw, "DATE", "date").alias("obs_date"),
+                        *[num(n) for n in ("PRCP", "SNOW", "SNWD", "TMAX", "TMIN")])
+    prcp, tmax, tmin = F.col("PRCP"), F.col("TMAX"), F.col("TMIN")
+    out = parsed.select("obs_date",
+                        (prcp / 10.0).alias("precip_mm"), (prcp / 10.0 / 25.4).alias("precip_in"),
+                        F.col("SNOW").alias("snow_mm"), F.col("SNWD").alias("snow_depth_mm"),
+                        (tmax / 10.0).alias("tmax_c"), (tmin / 10.0).alias("tmin_c"),
+                        (tmax / 10.0 * 9 / 5 + 32).alias("tmax_f"),
+                        (tmin / 10.0 * 9 / 5 + 32).alias("tmin_f"))
     return out.filter(F.col("obs_date").isNotNull())
 
 
