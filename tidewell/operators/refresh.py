@@ -52,7 +52,13 @@ def refresh_cutoff(spark: SparkSession, path: str, month_col: str,
     last = target.agg(F.max(month_col)).first()[0]
     if last is None:
         return None
-    return spark.range(1).select(F.add_months(F.lit(last), -lookback_months)).first()[0]
+    return shift_month(last, -lookback_months)
+
+
+def shift_month(d, k: int):
+    """First day of the month ``k`` months after the month of ``d``."""
+    years, month0 = divmod(d.month - 1 + k, 12)
+    return d.replace(year=d.year + years, month=month0 + 1, day=1)
 
 
 def refresh(spark: SparkSession, source: DataFrame, ts_col: str, rollup: Rollup,
