@@ -269,3 +269,14 @@ def test_civic_quality_and_freshness(spark, built):
     fr = {r.feed: (r.age_days, r.status) for r in civic_freshness(frames, "2024-03-01").collect()}
     assert fr == {"stg_building_permits": (20, "pass"), "stg_crime": (27, "warn"),
                   "stg_csr_311": (-19, "pass")}
+
+
+def test_ad_hoc_sql_over_marts(spark, built):
+    from tidewell.operators.audit import run_read_only
+    names = M.register_warehouse_views(spark, built[0])
+    assert "mart_metrics" in names and "stg_crime" in names
+    out = run_read_only(spark, "-- headline\nselect metric_name, value from mart_metrics "
+                               "where unit = 'count' order by value desc;").collect()
+    assert out[0].value >= out[-1].value and len(out) == 8
+    with pytest.raises(ValueError):
+        run_read_only(spark, "select * from mart_metrics; drop table mart_metrics")

@@ -673,3 +673,12 @@ def warehouse_frames(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
             frames[prefix + n] = (read_mart(spark, out_dir, n, ordered=False) if kind == "marts"
                                   else spark.read.parquet(f"{base}/{n}"))
     return frames
+
+
+def register_warehouse_views(spark: SparkSession, out_dir: str) -> list[str]:
+    """Register every built staging table and mart as a temp view under its
+    model name, for ad-hoc read-only SQL (``audit.run_read_only``)."""
+    frames = warehouse_frames(spark, out_dir)
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    return sorted(frames)
