@@ -523,6 +523,16 @@ select p_partkey, p_name as name, size,
        {FIX('((((0.0 + lat) + lat) + (lat + 0.001)) + (lat + 0.001)) / 4', 6)} as lat
 from p"""
 
+SQL["nested_series"] = """
+select l_orderkey, l_linenumber, 'flow' as kind, strftime(cast(l_shipdate as date), '%Y-%m-%d') as period,
+       cast(l_quantity as varchar) as value from lineitem
+union all
+select l_orderkey, l_linenumber, 'flow', strftime(cast(l_shipdate as date) + 1, '%Y-%m-%d'),
+       cast(l_tax as varchar) from lineitem
+union all
+select l_orderkey, l_linenumber, 'tide', cast(year(l_shipdate) as varchar) || '-' || cast(month(l_shipdate) as varchar),
+       cast(l_discount as varchar) from lineitem"""
+
 SQL["multi_source_union"] = """
 select c_name as name, c_acctbal as balance, 'customer' as source from customer
 union all

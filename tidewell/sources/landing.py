@@ -83,21 +83,31 @@ TIDES_SCHEMA = ("data array<struct<year: string, month: string, MSL: string, "
                 "MHHW: string, MLLW: string, GT: string, highest: string, lowest: string>>")
 
 
+def flatten_time_series(doc: DataFrame, col: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
+    """(dateTime, value) points of the first series' first values block of
+    a parsed daily-series document (SRC7); missing levels give no rows."""
+    first_series = F.get(F.col(f"{col}.value.timeSeries"), 0)
+    first_block = F.get(first_series.getField("values"), 0)
+    pts = doc.select(*keep, F.explode(first_block.getField("value")).alias("p"))
+    return pts.select(*keep, F.col("p.dateTime").alias("obs_date"), F.col("p.value").alias("value"))
+
+
 def read_time_series(spark: SparkSession, path: str, guard: bool = True) -> DataFrame:
-    """Nested daily series (SRC7): first series, first values block, one row
-    per (dateTime, value) point; a document without a series raises."""
+    """Nested daily series files (SRC7); a document without a series raises."""
     doc = spark.read.schema(FLOW_SCHEMA).option("multiLine", True).json(path)
-    first_series = F.get(F.col("value.timeSeries"), 0)
-    first_block = F.get(first_series.getField("values"), 0)
-    pts = doc.select(F.explode(first_block.getField("value")).alias("p"))
-    out = pts.select(F.col("p.dateTime").alias("obs_date"), F.col("p.value").alias("value"))
+    out = flatten_time_series(doc.select(F.struct("value").alias("doc")))
     return require_rows(out, path) if guard else out
 
 
+def flatten_tide_months(doc: DataFrame, col: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
+    """Monthly rows of a parsed ``data[]`` document (SRC8)."""
+    return doc.select(*keep, F.explode(F.col(f"{col}.data")).alias("d")).select(*keep, "d.*")
+
+
 def read_tide_months(spark: SparkSession, path: str, guard: bool = True) -> DataFrame:
     """JSON ``data[]`` of monthly values (SRC8)."""
     doc = spark.read.schema(TIDES_SCHEMA).option("multiLine", True).json(path)
-    out = doc.select(F.explode("data").alias("d")).select("d.*")
+    out = flatten_tide_months(doc.select(F.struct("data").alias("doc")))
     return require_rows(out, path) if guard else out
 
 
@@ -119,10 +129,14 @@ def read_features(spark: SparkSession, path: str, attributes: T.StructType,
 
 
 # ---------------------------------------------------------------------- sinks
-def land_csv_text(df: DataFrame, path: str) -> None:
-    """Write a frame as header CSV with every value as text."""
-    (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-       .write.mode("overwrite").option("header", True).csv(path))
+def land_csv_text(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Write a frame as header CSV with every value as text (optionally
+    gzip-compressed, as national bulk files arrive)."""
+    w = (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+           .write.mode("overwrite").option("header", True))
+    if compression:
+        w = w.option("compression", compression)
+    w.csv(path)
 
 
 def land_json_text(df: DataFrame, path: str) -> None:
