@@ -1,12 +1,13 @@
 """Keep a month-keyed summary table current as feed files land.
 
 A file stream watches a landing folder.  Each micro-batch is typed by the
-caller's ``stage`` function and written to a staging folder under its own
-``batch_id`` partition (overwritten if the batch is retried, so a batch is
-stored exactly once).  The months the batch touched are then re-aggregated
-from **all** staged rows and swapped into the summary table with a dynamic
-partition overwrite, so late rows of any age are counted and replays are
-idempotent.  Only the list of touched months (one row per month) reaches
+caller's ``stage`` function and written to a staging folder partitioned by
+(month, ``batch_id``) — a retried batch overwrites only its own folders, so
+a batch is stored exactly once.  The months the batch touched are then
+re-aggregated from all staged rows of those months (read by partition
+pruning, so a batch costs the size of its months, not of the whole
+history) and swapped into the summary table with a dynamic partition
+overwrite; late rows of any age are counted and replays are idempotent.  Only the list of touched months (one row per month) reaches
 the driver.  Offsets and the file log live in a checkpoint folder under the
 shared directory, so a restarted job resumes where it stopped.
 """
@@ -41,18 +42,23 @@ def start_month_refresh(spark: SparkSession, landing_dir: str, schema, stage: St
     source = reader.load(landing_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        staged = stage(batch).withColumn("batch_id", F.lit(batch_id))
+        staged = (stage(batch)
+                  .withColumn("stage_month", month_start(ts_col))
+                  .withColumn("batch_id", F.lit(batch_id)))
+        # (month, batch) partitions: a retried batch overwrites only its own
+        # folders, and a month's history is found by partition pruning
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(staging_path))
-        touched = [r[0] for r in staged.filter(F.col(ts_col).isNotNull())
-                                       .select(month_start(ts_col).alias("m")).distinct().collect()]
+               .partitionBy("stage_month", "batch_id").parquet(staging_path))
+        touched = [r[0] for r in staged.filter(F.col("stage_month").isNotNull())
+                                       .select("stage_month").distinct().collect()]
         if not touched:
             return
-        history = spark.read.parquet(staging_path)
-        rows = history.filter(month_start(ts_col).isin(touched))
-        (rollup(rows).repartition(month_col).write.mode("overwrite")
-                     .option("partitionOverwriteMode", "dynamic")
-                     .partitionBy(month_col).parquet(table_path))
+        history = (spark.read.parquet(staging_path)
+                        .filter(F.col("stage_month").isin(touched))
+                        .drop("stage_month", "batch_id"))
+        (rollup(history).repartition(month_col).write.mode("overwrite")
+                        .option("partitionOverwriteMode", "dynamic")
+                        .partitionBy(month_col).parquet(table_path))
 
     ckpt = checkpoint or shared_dir(spark, "streams", name, fresh=True)
     writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
