@@ -547,6 +547,9 @@ where c_mktsegment = 'BUILDING'
   and lpad(cast(c_nationkey as varchar), 3, '0') in ('001', '003', '005', '007', '011')
   and c_acctbal > 0"""
 
+SQL["paged_json"] = """
+select o_orderkey, o_totalprice, cast(o_orderdate as date) as order_date, o_orderpriority from orders"""
+
 SQL["landing_roundtrip"] = """
 select o_orderkey, o_totalprice, cast(o_orderdate as date) as order_date, o_orderpriority,
        f.landed_as

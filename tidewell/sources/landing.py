@@ -145,6 +145,18 @@ def land_json_text(df: DataFrame, path: str) -> None:
        .write.mode("overwrite").json(path))
 
 
+def land_json_pages(df: DataFrame, path: str, page_rows: int = 50000) -> None:
+    """Write a frame as JSON row pages: each page file holds one JSON array
+    of at most ``page_rows`` row objects (values as text), the shape paged
+    row APIs return.  Pages never span input partitions, so a page is
+    built inside one task from a bounded number of rows."""
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    paged = text.withColumn("page", F.floor(F.monotonically_increasing_id() / page_rows))
+    pages = paged.groupBy("page").agg(
+        F.to_json(F.collect_list(F.struct(*text.columns))).alias("value"))
+    pages.write.mode("overwrite").partitionBy("page").text(path)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table (SNK1, SNK3) as Parquet."""
     w = df.write.mode("overwrite")
