@@ -87,3 +87,13 @@ def test_build_named_subset():
     with pytest.raises(KeyError):
         build(builders, ["zzz"])
     assert ran == ["b"]
+
+
+def test_json_pages_are_bounded(spark, tmp_path):
+    from tidewell.sources.landing import land_json_pages, text_schema
+    df = spark.range(2500).selectExpr("id as k", "id * 2 as v").repartition(3)
+    land_json_pages(df, str(tmp_path / "p"), page_rows=400)
+    back = read_json_pages(spark, str(tmp_path / "p" / "*" / "*.txt"), text_schema(["k", "v"]))
+    assert sorted(int(r.k) for r in back.collect()) == list(range(2500))
+    sizes = [len(json.loads(f.read_text())) for f in (tmp_path / "p").glob("*/*.txt")]
+    assert max(sizes) <= 400 and sum(sizes) == 2500
