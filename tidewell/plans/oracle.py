@@ -362,38 +362,74 @@ r as (select *, row_number() over (partition by user_id order by event_count des
 select user_id, event_type, event_count, type_rank from r where type_rank <= 3"""
 
 
-def _hex_sql() -> str:
+def _hex_cells(points_sql: str, extra: str = "") -> str:
+    """CTEs ending in ``cell`` (hex_q, hex_r plus ``extra`` columns) for the
+    points of ``points_sql`` (columns lon, lat plus extras)."""
     import math
     lon0, lat0, radius = -122.33, 47.61, 250.0
     kx = 111320.0 * math.cos(math.radians(lat0)) / radius
     ky = 110540.0 / radius
     s3 = math.sqrt(3.0)
     d = lambda v: f"cast({v!r} as double)"
+    ex = (", " + extra) if extra else ""
     return f"""
-with p as (
-    select -122.45 + l_quantity / 200.0 as lon, 47.5 + l_extendedprice / 1000000.0 as lat
-    from lineitem
+with p as ({points_sql}
 ), a as (
-    select (lon - {d(lon0)}) * {d(kx)} as x, (lat - {d(lat0)}) * {d(ky)} as y from p
+    select (lon - {d(lon0)}) * {d(kx)} as x, (lat - {d(lat0)}) * {d(ky)} as y{ex} from p
 ), f as (
-    select x * {d(s3 / 3.0)} - y * {d(1.0 / 3.0)} as fq, y * {d(2.0 / 3.0)} as fr from a
+    select x * {d(s3 / 3.0)} - y * {d(1.0 / 3.0)} as fq, y * {d(2.0 / 3.0)} as fr{ex} from a
 ), g as (
-    select fq, fr, 0.0 - fq - fr as fs from f
+    select fq, fr, 0.0 - fq - fr as fs{ex} from f
 ), rr as (
-    select fq, fr, fs, floor(fq + 0.5) as rq, floor(fr + 0.5) as rr_, floor(fs + 0.5) as rs from g
+    select fq, fr, fs, floor(fq + 0.5) as rq, floor(fr + 0.5) as rr_, floor(fs + 0.5) as rs{ex} from g
 ), dd as (
     select *, abs(rq - fq) as dq, abs(rr_ - fr) as dr, abs(rs - fs) as ds from rr
 ), cell as (
     select cast(case when dq > dr and dq > ds then 0.0 - rr_ - rs else rq end as bigint) as hex_q,
-           cast(case when not (dq > dr and dq > ds) and dr > ds then 0.0 - rq - rs else rr_ end as bigint) as hex_r
+           cast(case when not (dq > dr and dq > ds) and dr > ds then 0.0 - rq - rs else rr_ end as bigint) as hex_r{ex}
     from dd
-), c as (select hex_q, hex_r, count(*) as point_count from cell group by 1, 2)
+)"""
+
+
+def _hex_sql() -> str:
+    import math
+    lon0, lat0, radius = -122.33, 47.61, 250.0
+    kx = 111320.0 * math.cos(math.radians(lat0)) / radius
+    ky = 110540.0 / radius
+    s3 = math.sqrt(3.0)
+    d = lambda v: f"cast({v!r} as double)"
+    cells = _hex_cells("""
+    select -122.45 + l_quantity / 200.0 as lon, 47.5 + l_extendedprice / 1000000.0 as lat
+    from lineitem""")
+    return cells + f""", c as (select hex_q, hex_r, count(*) as point_count from cell group by 1, 2)
 select hex_q, hex_r, point_count,
        {FIX(f"(cast(hex_q as double) * {d(s3)} + cast(hex_r as double) * {d(s3 / 2.0)}) / {d(kx)} + {d(lon0)}", 6)} as center_lon,
        {FIX(f"(cast(hex_r as double) * 1.5) / {d(ky)} + {d(lat0)}", 6)} as center_lat
 from c"""
 
 
+_EVENT_POINTS = """
+    select event_id, event_type, -122.45 + value / 2000.0 as lon, 47.5 + user_id / 1000.0 as lat
+    from events where value is not null and user_id is not null"""
+
+SQL["hex_top_types"] = _hex_cells(_EVENT_POINTS, "event_id, event_type") + """, c as (
+    select hex_q, hex_r, event_type, count(*) as category_count from cell
+    where event_type is not null group by 1, 2, 3
+), r as (
+    select *, row_number() over (partition by hex_q, hex_r
+                                 order by category_count desc, event_type) as category_rank
+    from c
+)
+select hex_q, hex_r, event_type, category_count, category_rank from r where category_rank <= 8"""
+
+SQL["hex_sample_rows"] = _hex_cells(_EVENT_POINTS, "event_id, event_type") + """, r as (
+    select hex_q, hex_r, event_id, event_type,
+           row_number() over (partition by hex_q, hex_r
+                              order by md5(cast(event_id as varchar) || '42'), event_id) as rn
+    from cell
+)
+select hex_q, hex_r, event_id, event_type from r where rn <= 12"""
+
 SQL["hex_bins"] = _hex_sql()
 
 SQL["cell_samples"] = """
