@@ -280,3 +280,15 @@ def test_ad_hoc_sql_over_marts(spark, built):
     assert out[0].value >= out[-1].value and len(out) == 8
     with pytest.raises(ValueError):
         run_read_only(spark, "select * from mart_metrics; drop table mart_metrics")
+
+
+def test_parse_report_counts_bad_text(spark, raw):
+    from tidewell.plans.civic_quality import civic_parse_report
+    rep = {(r.table_name, r.column_name): (r.non_blank, r.unparsed)
+           for r in civic_parse_report(raw).collect()}
+    assert rep[("crime", "report_date_time")] == (4, 1)        # 'not a time'
+    assert rep[("crime", "latitude")] == (3, 1)                # 'REDACTED' ('' is blank)
+    assert rep[("business_licenses", "license_start_date")] == (3, 1)   # 'garbage'
+    assert rep[("building_permits", "housingunitsadded")] == (3, 1)     # 'x'
+    assert rep[("ntd_ridership", "upt")] == (6, 1)             # 'n/a'
+    assert rep[("weather", "DATE")] == (4, 1)

@@ -169,3 +169,27 @@ def freshness_report(tables: Mapping[str, DataFrame], rules: Sequence[Freshness]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def parse_failures(df: DataFrame, columns: Mapping[str, str], table: str = "") -> DataFrame:
+    """Per text column, how many non-blank values the lenient cast to
+    ``kind`` (double | int | bigint | timestamp | date | compact_date) turned
+    into NULL.  Lenient typing never fails a load, so this count is what
+    keeps bad text from going unnoticed.  One aggregate for all columns.
+    """
+    from tidewell.functions import columns as C
+    casts = {"double": C.lenient_double, "int": C.lenient_int, "bigint": C.lenient_bigint,
+             "timestamp": C.text_to_timestamp, "date": C.text_to_date,
+             "compact_date": C.compact_date}
+    aggs = []
+    for i, (col, kind) in enumerate(columns.items()):
+        text = F.col(col).cast("string")
+        aggs += [F.count_if(F.nullif(F.trim(text), F.lit("")).isNotNull()).alias(f"n{i}"),
+                 F.count_if(C.unparsed(text, casts[kind](text))).alias(f"f{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
+                 F.lit(kind).alias("parsed_as"), F.col(f"n{i}").cast("bigint").alias("non_blank"),
+                 F.col(f"f{i}").cast("bigint").alias("unparsed"))
+        for i, (col, kind) in enumerate(columns.items())])
+    return one.select(F.inline(rows))

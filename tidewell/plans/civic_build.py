@@ -186,6 +186,9 @@ def main(argv: Sequence[str] | None = None) -> None:
                                  args.incremental, args.built_at)
     print("built:", ", ".join(written))
     if args.check:
+        from tidewell.plans.civic_quality import civic_parse_report
+        raw = {f: load_feed(spark, args.landing, f) for f in feeds_for(tables or None)}
+        civic_parse_report(raw).write.mode("overwrite").parquet(f"{args.out}/parse_report")
         from tidewell.operators.quality import raise_on_error
         from tidewell.plans.civic_quality import civic_quality_report
         report = civic_quality_report(spark, M.warehouse_frames(spark, args.out))

@@ -115,3 +115,31 @@ def civic_quality_report(spark: SparkSession, frames: Mapping[str, DataFrame]) -
 def civic_freshness(frames: Mapping[str, DataFrame], as_of: str) -> DataFrame:
     rules = [r for r in CIVIC_FRESHNESS if r.feed in frames]
     return freshness_report(frames, rules, as_of)
+
+
+# raw text columns typed leniently by staging, per feed (column -> parsed kind)
+PARSED_COLUMNS = {
+    "building_permits": {"housingunitsadded": "int", "estprojectcost": "double",
+                         "issueddate": "timestamp", "latitude": "double", "longitude": "double"},
+    "crime": {"report_date_time": "timestamp", "latitude": "double", "longitude": "double"},
+    "csr_311": {"createddate": "timestamp", "latitude": "double", "longitude": "double"},
+    "fire_911": {"datetime": "timestamp", "latitude": "double", "longitude": "double"},
+    "food_inspections": {"inspection_date": "timestamp", "inspection_score": "double",
+                         "violation_points": "int"},
+    "business_licenses": {"license_start_date": "compact_date"},
+    "ntd_ridership": {"date": "timestamp", "upt": "bigint"},
+    "weather": {"DATE": "date", "PRCP": "double", "TMAX": "double", "TMIN": "double"},
+    "snowpack": {"obs_date": "date", "swe_in": "double"},
+    "seattle_tides": {"year": "int", "month": "int", "MSL": "double"},
+}
+
+
+def civic_parse_report(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """Unparsed-text counts for every landed feed present."""
+    from tidewell.operators.quality import parse_failures
+    parts = [parse_failures(df, {c: k for c, k in PARSED_COLUMNS[f].items() if c in df.columns}, f)
+             for f, df in raw.items() if f in PARSED_COLUMNS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

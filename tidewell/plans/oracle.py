@@ -484,6 +484,30 @@ select feed, newest_date, cast(date '2024-02-15' - newest_date as integer) as ag
             when date '2024-02-15' - newest_date > w then 'warn' else 'pass' end as status
 from f"""
 
+SQL["parse_failures"] = """
+with t as (
+    select case when o_orderkey % 7 = 0 then '' when o_orderkey % 11 = 0 then 'garbage'
+                else strftime(o_orderdate, '%Y%m%d') end as start_text,
+           case when o_orderkey % 13 = 0 then 'n/a' else cast(o_totalprice as varchar) end as price_text,
+           case when o_orderkey % 5 = 0 then ' ' else cast(o_custkey as varchar) end as cust_text
+    from orders
+)
+select 'orders_text' as table_name, 'start_text' as column_name, 'compact_date' as parsed_as,
+       count(*) filter (where nullif(trim(start_text), '') is not null) as non_blank,
+       count(*) filter (where nullif(trim(start_text), '') is not null
+                          and try_strptime(nullif(start_text, ''), '%Y%m%d') is null) as unparsed
+from t
+union all
+select 'orders_text', 'price_text', 'double',
+       count(*) filter (where nullif(trim(price_text), '') is not null),
+       count(*) filter (where nullif(trim(price_text), '') is not null and try_cast(price_text as double) is null)
+from t
+union all
+select 'orders_text', 'cust_text', 'bigint',
+       count(*) filter (where nullif(trim(cust_text), '') is not null),
+       count(*) filter (where nullif(trim(cust_text), '') is not null and try_cast(cust_text as bigint) is null)
+from t"""
+
 SQL["sql_view"] = """
 select o_orderpriority, count(*) as order_count from orders
 group by o_orderpriority order by order_count desc, o_orderpriority"""
