@@ -543,9 +543,9 @@ def _audit_sql() -> str:
 with t(template_id, expected, template) as (
     values {vals}
 ), s as (
-    select r_regionkey, template_id, expected,
-           replace(template, '{{k}}', cast(r_regionkey as varchar)) as sql
-    from region, t
+    select o_orderkey, template_id, expected,
+           replace(template, '{{k}}', cast(o_orderkey as varchar)) as sql
+    from orders join t on t.template_id = cast(o_orderkey % {len(STATEMENT_TEMPLATES)} as integer)
 ), c as (
     select *, regexp_replace(regexp_replace(regexp_replace(sql, '--[^\\n]*', ' ', 'g'),
                                   '(?s)/\\*.*?\\*/', ' ', 'g'), '\\A\\s+|\\s+\\z', '', 'g') as cleaned
@@ -565,7 +565,7 @@ with t(template_id, expected, template) as (
                                             {anywhere}), false), false) as is_read_only
     from l
 )
-select r_regionkey, template_id, expected, is_read_only,
+select o_orderkey, template_id, expected, is_read_only,
        case when is_read_only then regexp_replace(body, '\\s+\\z', '') end as cleaned_sql
 from j"""
 
