@@ -24,7 +24,9 @@ Rollup = Callable[[DataFrame], DataFrame]
 
 
 def _write(df: DataFrame, path: str, month_col: str, dynamic: bool) -> None:
-    (df.repartition(month_col)          # one writer per month: no small files
+    # cluster rows by month (few files per month folder) while letting AQE
+    # split a month that is much larger than the others
+    (df.hint("rebalance", month_col)
        .write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
        .partitionBy(month_col)

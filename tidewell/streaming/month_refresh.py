@@ -56,7 +56,7 @@ def start_month_refresh(spark: SparkSession, landing_dir: str, schema, stage: St
         history = (spark.read.parquet(staging_path)
                         .filter(F.col("stage_month").isin(touched))
                         .drop("stage_month", "batch_id"))
-        (rollup(history).repartition(month_col).write.mode("overwrite")
+        (rollup(history).hint("rebalance", month_col).write.mode("overwrite")
                         .option("partitionOverwriteMode", "dynamic")
                         .partitionBy(month_col).parquet(table_path))
 
