@@ -292,3 +292,14 @@ def test_parse_report_counts_bad_text(spark, raw):
     assert rep[("building_permits", "housingunitsadded")] == (3, 1)     # 'x'
     assert rep[("ntd_ridership", "upt")] == (6, 1)             # 'n/a'
     assert rep[("weather", "DATE")] == (4, 1)
+
+
+def test_refresh_prunes_month_folders(spark, raw):
+    from tidewell.operators.refresh import window_rows
+    out = shared_dir(spark, "test_civic_prune", fresh=True)
+    M.build_warehouse(spark, raw, out, names=["mart_crime_monthly"])
+    staged = spark.read.parquet(f"{out}/staging/crime")
+    rows = window_rows(staged, "report_datetime", dt.date(2024, 2, 1), partition_col="stage_month")
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(stage_month" in plan and ">= 2024-02-01" in plan
+    assert [r.report_number for r in rows.collect()] == ["R2"]

@@ -63,20 +63,29 @@ def shift_month(d, k: int):
     return d.replace(year=d.year + years, month=month0 + 1, day=1)
 
 
+def window_rows(source: DataFrame, ts_col: str, cutoff, partition_col: str | None = None) -> DataFrame:
+    """Source rows at or after ``cutoff``.  The cutoff is compared in the
+    column's own type so the filter reaches the Parquet scan; with
+    ``partition_col`` (a month partition column of the source) the same
+    cutoff also prunes whole month folders."""
+    ts_type = dict(source.dtypes)[ts_col]
+    rows = source.filter(F.col(ts_col) >= F.lit(cutoff).cast(ts_type))
+    if partition_col:
+        rows = rows.filter(F.col(partition_col) >= F.lit(cutoff).cast("date"))
+    return rows
+
+
 def refresh(spark: SparkSession, source: DataFrame, ts_col: str, rollup: Rollup,
-            path: str, month_col: str, lookback_months: int = 1) -> dict:
+            path: str, month_col: str, lookback_months: int = 1,
+            partition_col: str | None = None) -> dict:
     """INC1: rebuild the trailing window of months from ``source``.
 
     Returns the cutoff used and the mode.  An empty target falls back to a
-    full build.  The cutoff is compared in the column's own type so the
-    filter reaches the Parquet scan (and prunes month partitions when the
-    source is itself partitioned by month).
+    full build.  See :func:`window_rows` for how the window is read.
     """
     cutoff = refresh_cutoff(spark, path, month_col, lookback_months)
     if cutoff is None:
         full_build(source, rollup, path, month_col)
         return {"cutoff": None, "mode": "full"}
-    ts_type = dict(source.dtypes)[ts_col]
-    window = source.filter(F.col(ts_col) >= F.lit(cutoff).cast(ts_type))
-    _write(rollup(window), path, month_col, dynamic=True)
+    _write(rollup(window_rows(source, ts_col, cutoff, partition_col)), path, month_col, dynamic=True)
     return {"cutoff": cutoff, "mode": "incremental"}

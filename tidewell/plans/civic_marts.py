@@ -552,6 +552,8 @@ MART_ORDER: dict[str, list[str]] = {
     "mart_metrics": ["metric_name"],
 }
 
+STAGE_MONTH = "stage_month"
+
 # month-keyed marts refreshed incrementally: name -> (feed, time column, rollup, month column)
 INCREMENTAL = {
     "mart_crime_monthly": ("crime", "report_datetime", crime_monthly_rollup, "crime_month"),
@@ -601,11 +603,17 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
             for d in MARTS.get(n, ((),))[0]:
                 needed.add("food_inspections" if d == "mart_inspections" else d)
     staged = {}
+    month_partitioned = {feed: ts for feed, ts, _, _ in INCREMENTAL.values()}
     for feed, df in staging_frames(raw).items():
         if needed is not None and feed not in needed:
             continue
         path = f"{out_dir}/staging/{feed}"
-        df.write.mode("overwrite").parquet(path)
+        if feed in month_partitioned:
+            # month folders: a trailing-window refresh reads only its months
+            (df.withColumn(STAGE_MONTH, A.month_start(month_partitioned[feed]))
+               .write.mode("overwrite").partitionBy(STAGE_MONTH).parquet(path))
+        else:
+            df.write.mode("overwrite").parquet(path)
         staged[feed] = spark.read.parquet(path)
     frames = dict(staged)
     if "food_inspections" in frames:
@@ -619,7 +627,8 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
         if n in INCREMENTAL:
             feed, ts, rollup, mcol = INCREMENTAL[n]
             if incremental:
-                refresh(spark, frames[feed].filter(F.col(ts).isNotNull()), ts, rollup, p, mcol)
+                refresh(spark, frames[feed].filter(F.col(ts).isNotNull()), ts, rollup, p, mcol,
+                        partition_col=STAGE_MONTH)
             else:
                 full_build(frames[feed], rollup, p, mcol)
         elif n != "mart_inspections":
