@@ -35,3 +35,16 @@ def exact_mean(c, scale: int = 2, precision: int = 18) -> Column:
 def pct(part, whole, digits: int = 0) -> Column:
     """Guarded percentage: 100 * part / whole, NULL when whole is 0."""
     return fixed(_c(part).cast("double") * 100.0 / F.nullif(_c(whole).cast("double"), F.lit(0.0)), digits)
+
+
+def stable_sum(c, scale: int = 9) -> Column:
+    """Sum of float readings that does not depend on row order: each value
+    is rounded once to ``scale`` decimals and summed exactly in DECIMAL, so
+    the same data gives the same bits on any partitioning or engine."""
+    return F.sum(_c(c).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def stable_mean(c, scale: int = 9) -> Column:
+    """stable_sum / count of non-null values; NULL for an all-NULL group."""
+    c = _c(c)
+    return stable_sum(c, scale) / F.nullif(F.count(c), F.lit(0))

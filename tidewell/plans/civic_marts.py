@@ -1,7 +1,8 @@
 """Civic marts: the published summary tables as DataFrame functions.
 
 Each mart takes the staging frames it needs (by name) and returns a lazy
-DataFrame.  Marts do not sort: order is applied when a mart is read
+DataFrame.  Sums and means of float readings use ``stable_sum`` /
+``stable_mean`` so a rebuild gives the same bits on any partitioning.  Marts do not sort: order is applied when a mart is read
 (``MART_ORDER``), except where a limit makes order part of the result
 (top-N and fixed-size samples).  ``build_warehouse`` persists staging once
 (several marts share it), writes every mart as Parquet and can refresh the
@@ -16,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions import columns as C
+from tidewell.functions.numeric import stable_mean, stable_sum
 from tidewell.operators import aggregates as A
 from tidewell.operators.metrics import load_metrics, metric_table
 from tidewell.operators.topk import Extreme, extremes, hash_sample, top_rows
@@ -49,13 +51,13 @@ def mart_air_category_days(s: Frames) -> DataFrame:
 def mart_air_monthly(s: Frames) -> DataFrame:
     aq = s["air_quality"]
     return aq.groupBy(A.month_start("obs_date").alias("obs_month"), "pollutant").agg(
-        F.avg("aqi").alias("avg_aqi"), F.max("aqi").alias("max_aqi"), _n("reading_count"))
+        stable_mean("aqi").alias("avg_aqi"), F.max("aqi").alias("max_aqi"), _n("reading_count"))
 
 
 def mart_air_sites(s: Frames) -> DataFrame:
     return _pm(s).groupBy("site", "county").agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"),
-        F.round(F.avg("aqi")).alias("avg_aqi"), F.max("aqi").alias("max_aqi"), _n("day_count"))
+        stable_mean("latitude").alias("latitude"), stable_mean("longitude").alias("longitude"),
+        F.round(stable_mean("aqi")).alias("avg_aqi"), F.max("aqi").alias("max_aqi"), _n("day_count"))
 
 
 def mart_air_worst_days(s: Frames) -> DataFrame:
@@ -165,7 +167,7 @@ def mart_ferry_monthly(s: Frames) -> DataFrame:
 
 def mart_ferry_seasonal(s: Frames) -> DataFrame:
     return (_ferry_monthly(s).groupBy(F.month("ridership_month").cast("int").alias("month_of_year"))
-                             .agg(F.avg("boardings").alias("avg_boardings")))
+                             .agg(stable_mean("boardings").alias("avg_boardings")))
 
 
 def mart_transit_by_agency(s: Frames) -> DataFrame:
@@ -225,7 +227,7 @@ def mart_inspection_results(s: Frames) -> DataFrame:
 def mart_inspections_over_time(s: Frames) -> DataFrame:
     return A.month_rollup(_insp(s), "inspection_date", "inspection_month",
                           {"inspection_count": F.count(F.lit(1)),
-                           "avg_score": F.round(F.avg("inspection_score"), 1)})
+                           "avg_score": F.round(stable_mean("inspection_score"), 1)})
 
 
 def mart_top_violations(s: Frames) -> DataFrame:
@@ -236,7 +238,7 @@ def mart_top_violations(s: Frames) -> DataFrame:
 def mart_worst_establishments(s: Frames) -> DataFrame:
     return A.having(_insp(s), ["establishment"],
                     {"inspections": F.count(F.lit(1)),
-                     "avg_score": F.round(F.avg("inspection_score"), 1),
+                     "avg_score": F.round(stable_mean("inspection_score"), 1),
                      "total_violations": F.sum("violation_count").cast("bigint")},
                     F.col("inspections") >= 3)
 
@@ -288,8 +290,8 @@ def mart_parks_size_bands(s: Frames) -> DataFrame:
 def mart_permits_by_class(s: Frames) -> DataFrame:
     return (s["building_permits"]
             .groupBy(C.label_or_unknown("permit_class", blank_is_null=False).alias("permit_class"))
-            .agg(_n("permit_count"), F.sum("valuation").alias("total_valuation"),
-                 F.round(F.avg("valuation"), 0).alias("avg_valuation")))
+            .agg(_n("permit_count"), stable_sum("valuation").alias("total_valuation"),
+                 F.round(stable_mean("valuation"), 0).alias("avg_valuation")))
 
 
 def mart_permits_map_sample(s: Frames, n: int = 5000) -> DataFrame:
@@ -303,8 +305,8 @@ def mart_permits_map_sample(s: Frames, n: int = 5000) -> DataFrame:
 
 def permits_monthly_rollup(df: DataFrame) -> DataFrame:
     return A.month_rollup(df, "issue_date", "issue_month",
-                          {"permit_count": F.count(F.lit(1)), "total_valuation": F.sum("valuation"),
-                           "avg_valuation": F.round(F.avg("valuation"), 0)})
+                          {"permit_count": F.count(F.lit(1)), "total_valuation": stable_sum("valuation"),
+                           "avg_valuation": F.round(stable_mean("valuation"), 0)})
 
 
 def mart_permits_monthly(s: Frames) -> DataFrame:
@@ -314,13 +316,13 @@ def mart_permits_monthly(s: Frames) -> DataFrame:
 # ------------------------------------------------------------------ water
 def mart_river_annual(s: Frames) -> DataFrame:
     return A.year_rollup(s["cedar_river_flow"], "obs_date", "year",
-                         {"avg_discharge_cfs": F.avg("discharge_cfs"),
+                         {"avg_discharge_cfs": stable_mean("discharge_cfs"),
                           "min_discharge_cfs": F.min("discharge_cfs")})
 
 
 def mart_river_monthly_normals(s: Frames) -> DataFrame:
     out = A.month_of_year_rollup(s["cedar_river_flow"], "obs_date",
-                                 {"avg_discharge_cfs": F.avg("discharge_cfs")})
+                                 {"avg_discharge_cfs": stable_mean("discharge_cfs")})
     return out.withColumn("month_name", C.month_abbrev("month_num"))
 
 
@@ -338,7 +340,7 @@ def mart_snowpack_recent(s: Frames) -> DataFrame:
 
 def mart_tides_annual(s: Frames) -> DataFrame:
     return s["seattle_tides"].groupBy("year").agg(
-        F.avg("msl_ft").alias("avg_msl_ft"), F.avg("range_ft").alias("avg_range_ft"),
+        stable_mean("msl_ft").alias("avg_msl_ft"), stable_mean("range_ft").alias("avg_range_ft"),
         _n("month_count"))
 
 
@@ -407,15 +409,15 @@ def mart_trees_summary(s: Frames) -> DataFrame:
 # ------------------------------------------------------------------ weather
 def mart_weather_annual(s: Frames) -> DataFrame:
     return A.year_rollup(s["weather"], "obs_date", "year", {
-        "total_precip_in": F.sum("precip_in"),
+        "total_precip_in": stable_sum("precip_in"),
         "rain_days": A.count_where(F.col("precip_in") > 0.01),
-        "avg_tmax_f": F.avg("tmax_f"), "avg_tmin_f": F.avg("tmin_f")})
+        "avg_tmax_f": stable_mean("tmax_f"), "avg_tmin_f": stable_mean("tmin_f")})
 
 
 def mart_weather_monthly_normals(s: Frames) -> DataFrame:
     out = A.month_of_year_rollup(s["weather"], "obs_date", {
-        "avg_precip_in": F.avg("precip_in"), "avg_tmax_f": F.avg("tmax_f"),
-        "avg_tmin_f": F.avg("tmin_f")})
+        "avg_precip_in": stable_mean("precip_in"), "avg_tmax_f": stable_mean("tmax_f"),
+        "avg_tmin_f": stable_mean("tmin_f")})
     return out.withColumn("month_name", C.month_abbrev("month_num"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import columns as C
+from tidewell.functions.numeric import stable_mean
 
 
 def typed(df: DataFrame, name: str, kind: str) -> Column:
@@ -76,8 +77,8 @@ def stg_air_quality(raw: DataFrame) -> DataFrame:
         typed(raw, "aqi", "double").alias("aqi_raw"))
     dedup = (base.filter(F.col("obs_date").isNotNull())
                  .groupBy("county", "site", "latitude", "longitude", "obs_date", "pollutant")
-                 .agg(F.max("units").alias("units"), F.avg("am").alias("concentration"),
-                      F.avg("aqi_raw").alias("aqi_mean")))
+                 .agg(F.max("units").alias("units"), stable_mean("am").alias("concentration"),
+                      stable_mean("aqi_raw").alias("aqi_mean")))
     return dedup.select("county", "site", "latitude", "longitude", "obs_date", "pollutant",
                         "units", "concentration", F.round("aqi_mean").alias("aqi"),
                         C.aqi_category("aqi_mean").alias("aqi_category"))
