@@ -82,10 +82,16 @@ def extremes(df: DataFrame, date_col: str, specs: Sequence[Extreme],
                .filter(F.col(date_col).isNotNull()))
 
 
+# fixed text markers of the row hash: unit separator between values, the
+# visible NULL symbol (U+2400) for a missing value
+ROW_SEPARATOR = "\u001f"
+ROW_NULL = "\u2400"
+
+
 def row_text(cols) -> Column:
     """Every column as text, NULL-safe, joined with a separator no feed uses."""
-    return F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-                                   for c in cols])
+    return F.concat_ws(ROW_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(ROW_NULL))
+                                        for c in cols])
 
 
 def _hash_bucket(h: Column) -> tuple[Column, Column]:
