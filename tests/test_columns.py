@@ -35,6 +35,11 @@ def test_mode_label_cases(spark):
         "Unknown", "Unknown"]
 
 
+def test_whitespace_mode_code_gives_empty_label(spark):
+    # a whitespace-only code is not empty, so it is trimmed to '' and has no label
+    assert one_col(spark, ["   ", "\tlr "], C.code_label) == ["", "Light Rail"]
+
+
 def test_agency_lookup_has_no_fallback(spark):
     out = one_col(spark, ["King County", "Nowhere"], lambda c: C.lookup(c, C.TRANSIT_AGENCIES))
     assert out == ["King County Metro", None]

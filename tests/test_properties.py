@@ -11,7 +11,8 @@ from tidewell.functions import columns as C
 WORDS = st.sampled_from(["x", "×", "Acer", "quercus", "unknown", "VACANT", "stump", "", " ",
                          "Lake", "cove", "Discovery", "boat", "MB", " fb ", "zz", "12", "1.5"])
 TEXTS = st.one_of(st.none(), st.lists(WORDS, max_size=4).map(" ".join),
-                  st.text(alphabet="ab xX×Lake", max_size=12))
+                  st.lists(WORDS, max_size=3).map("\t".join).map(lambda t: f"\t{t} \n"),
+                  st.text(alphabet="ab xX×Lake\t", max_size=12))
 
 
 def genus_rule(name):

@@ -188,6 +188,12 @@ def clamped_radius(c: ColumnOrName, lo: float = 1, hi: float = 300,
 # labels, bands, flags (PRJ9-PRJ22)
 # --------------------------------------------------------------------------
 
+def strip_all(c: ColumnOrName) -> Column:
+    """Remove leading and trailing whitespace of every kind (tabs, newlines);
+    SQL ``trim`` removes spaces only."""
+    return F.regexp_replace(_c(c), r"\A\s+|\s+\z", "")
+
+
 def label_or_unknown(c: ColumnOrName, blank_is_null: bool = True,
                      default: str = "Unknown") -> Column:
     """coalesce(nullif(trim(x), ''), 'Unknown'); without trimming only NULL maps."""
@@ -271,7 +277,7 @@ def code_label(c: ColumnOrName, mapping: Mapping[str, str] = TRANSIT_MODE_LABELS
     """Code -> label after trim+upper; an unmapped code returns itself
     (trimmed, upper); NULL or '' -> 'Unknown' (a blank code stays '')."""
     c = _c(c)
-    key = F.upper(F.trim(c))
+    key = F.upper(strip_all(c))
     looked = F.try_element_at(map_literal(mapping), key)
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit(unknown)) \
             .otherwise(F.coalesce(looked, key))
@@ -292,7 +298,7 @@ def first_token(c: ColumnOrName, markers: Sequence[str] = HYBRID_MARKERS,
                 placeholders: Sequence[str] = GENUS_PLACEHOLDERS) -> Column:
     """First word, capitalised; a leading marker word is skipped when more
     words follow; placeholder words and blanks give NULL."""
-    toks = F.split(F.trim(_c(c)), r"\s+")
+    toks = F.split(strip_all(_c(c)), r"\s+")
     first = F.get(toks, 0)
     skip = F.lower(first).isin(*markers) & (F.size(toks) > 1)
     tok = F.when(skip, F.get(toks, 1)).otherwise(first)

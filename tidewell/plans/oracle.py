@@ -227,10 +227,10 @@ from f group by 1"""
 SQL["code_label"] = """
 with o as (
     select case when coalesce(lower(split_part(o_orderpriority, '-', -1)), '') = '' then 'Unknown'
-                else coalesce(case upper(trim(lower(split_part(o_orderpriority, '-', -1))))
+                else coalesce(case upper(regexp_replace(lower(split_part(o_orderpriority, '-', -1)), '^\\s+|\\s+$', '', 'g'))
                                   when 'URGENT' then 'Urgent' when 'HIGH' then 'High'
                                   when 'LOW' then 'Low' end,
-                              upper(trim(lower(split_part(o_orderpriority, '-', -1))))) end
+                              upper(regexp_replace(lower(split_part(o_orderpriority, '-', -1)), '^\\s+|\\s+$', '', 'g'))) end
                as priority_label,
            o_orderstatus
     from orders
@@ -247,7 +247,7 @@ from part"""
 
 SQL["first_token"] = """
 with t as (
-    select p_partkey, p_name, string_split_regex(trim(p_name), '\\s+') as toks from part
+    select p_partkey, p_name, string_split_regex(regexp_replace(p_name, '^\\s+|\\s+$', '', 'g'), '\\s+') as toks from part
 ), f as (
     select p_partkey, p_name,
            case when lower(toks[1]) in ('small') and len(toks) > 1 then toks[2] else toks[1] end as tok
