@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from tidewell.llm.benchmark_decontamination import op4_benchmark_decontamination
 from tidewell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from tidewell.llm.source_mixing import OP5_SQL, op5_source_mixing
+from tidewell.llm.token_records import op3_token_records
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_records": op3_token_records,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_source_mixing": op5_source_mixing,
 }
 
 SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op5_source_mixing": OP5_SQL,
 }
