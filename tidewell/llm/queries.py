@@ -7,9 +7,11 @@ from tidewell.llm.minhash_dedup import op9_minhash_dedup
 from tidewell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from tidewell.llm.source_mixing import OP5_SQL, op5_source_mixing
 from tidewell.llm.token_records import op3_token_records
+from tidewell.llm.toxicity_fm import op2_toxicity_fm
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity_fm": op2_toxicity_fm,
     "op3_token_records": op3_token_records,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
