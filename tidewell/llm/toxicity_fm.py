@@ -16,8 +16,8 @@ bounded sample reach the driver, where numpy fits the model by Adam.  Terms in
 fewer than ``MIN_DOCS`` of them, or whose share among toxic and other documents
 differs by less than ``MIN_Z`` standard errors, stay at zero: else the many
 chance terms of a long text outweigh the few that tell.  Scoring is one pass over the
-documents without shuffle, with the model (a few MB, its size fixed by
-``BUCKETS`` and ``FACTORS``) broadcast.
+documents without shuffle, with the model broadcast: it holds the telling terms
+of the bounded sample only, far under a MB.
 
 Defined results: null and empty texts are scored by the bias alone; a doc_id with
 several labels counts as toxic if one says so; null labels, label rows without a
@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import documents, text_or_empty
 from tidewell.sources.tables import load
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 28
 BEGINNINGS = (4, 5)
 FACTORS = 4
 TRAIN_DOCS = 24_000
-MIN_DOCS, MIN_Z = 4, 4.5
-EPOCHS, BATCH, RATE = 40, 512, 0.03
-L2_W, L2_V = 1e-4, 1e-3
+MIN_DOCS, MIN_Z = 4, 8.0
+EPOCHS, BATCH, RATE = 40, 256, 0.03
+L2_W, L2_V = 1e-6, 1e-5
+DROP = 0.25                  # share of terms left out at each step, so that few are enough
 THRESHOLD = 0.3
 HELD_OUT_OF, HELD_OUT = 4, 2
 
@@ -66,55 +67,56 @@ def with_terms(docs: DataFrame) -> DataFrame:
 
 
 class FactorizationMachine:
-    """Binary factorization machine on runs of term numbers."""
-
-    def __init__(self, buckets=BUCKETS, factors=FACTORS, seed=7):
-        self.bias = 0.0
-        self.w = np.zeros(buckets, np.float32)
-        self.v = np.random.default_rng(seed).normal(0, 0.02, (buckets, factors)).astype(np.float32)
-
-    def raw(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Scores before the logistic; empty runs get the bias."""
-        size = np.diff(starts)
-        out = np.full(len(size), self.bias, np.float64)
-        full = size > 0
-        if full.any():
-            at = starts[:-1][full]
-            v = self.v[terms]
-            s = np.add.reduceat(v, at)
-            q = np.add.reduceat((v * v).sum(1), at)
-            out[full] += np.add.reduceat(self.w[terms], at) + 0.5 * ((s * s).sum(1) - q)
-        return out
-
-    def scores(self, terms, starts):
-        return 1 / (1 + np.exp(-np.clip(self.raw(terms, starts), -30, 30)))
+    """Binary factorization machine on runs of term numbers; ``known`` are the
+    sorted numbers that have weights ``w`` and factors ``v``, others have none."""
+
+    def __init__(self, bias=0.0, known=None, w=None, v=None):
+        self.bias = bias
+        self.known = np.empty(0, np.int64) if known is None else known
+        self.w = np.zeros(len(self.known)) if w is None else w
+        self.v = np.zeros((len(self.known), FACTORS)) if v is None else v
+
+    def _own(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``known`` of the known terms, and how many each run has."""
+        if not len(self.known):
+            return np.empty(0, np.int64), np.zeros(len(starts) - 1, np.int64)
+        at = np.searchsorted(self.known, terms).clip(0, len(self.known) - 1)
+        hit = self.known[at] == terms
+        return at[hit], np.diff(np.concatenate([[0], np.cumsum(hit)])[starts])
+
+    def scores(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        own, size = self._own(terms, starts)
+        doc = np.repeat(np.arange(len(size)), size)
+        return 1 / (1 + np.exp(-np.clip(self._raw(own, doc, len(size))[0], -30, 30)))
+
+    def _raw(self, idx, doc, n):
+        """(scores before the logistic, factor sums, factors of each term)."""
+        x = self.v[idx]
+        s = np.stack([np.bincount(doc, x[:, f], n) for f in range(FACTORS)], 1)
+        q = np.bincount(doc, (x * x).sum(1), n)
+        return self.bias + np.bincount(doc, self.w[idx], n) + 0.5 * ((s * s).sum(1) - q), s, x
 
     def fit(self, terms: np.ndarray, starts: np.ndarray, y: np.ndarray) -> "FactorizationMachine":
         share = float(y.mean()) if len(y) else 0.0
         if not 0 < share < 1:
             self.bias = 30.0 if share else -30.0
-            self.v[:] = 0
             return self
         self.bias = float(np.log(share / (1 - share)))
         # terms that tell nothing stay out of the model
-        toxic = np.repeat(y, np.diff(starts))
-        count = np.bincount(terms, minlength=len(self.w))
+        every, inv = np.unique(terms, return_inverse=True)
+        count = np.bincount(inv, minlength=len(every))
+        hits = np.bincount(inv, np.repeat(y, np.diff(starts)), len(every))
         n1 = y.sum()
-        n0, hits = len(y) - n1, np.bincount(terms, toxic, len(self.w))
+        n0 = len(y) - n1
         spread = np.sqrt(count / len(y) * (1 - count / len(y)) * (1 / n1 + 1 / n0)).clip(1e-9)
         z = np.abs(hits / n1 - (count - hits) / n0) / spread
-        known = np.flatnonzero((count >= MIN_DOCS) & (z >= MIN_Z))
-        number = np.full(len(self.w), -1, np.int64)
-        number[known] = np.arange(len(known))
-        own = number[terms]
-        size = np.add.reduceat((own >= 0).astype(np.int64), np.minimum(starts[:-1], max(len(own) - 1, 0))) \
-            if len(own) else np.zeros(len(y), np.int64)
-        size[np.diff(starts) == 0] = 0
-        own = own[own >= 0]
-        at = np.concatenate([[0], np.cumsum(size)])
-        w, v = np.zeros(len(known), np.float32), self.v[known].copy()
-        moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
+        self.known = every[(count >= MIN_DOCS) & (z >= MIN_Z)].astype(np.int64)
         rng, step = np.random.default_rng(11), 0
+        self.w = np.zeros(len(self.known))
+        self.v = rng.normal(0, 0.02, (len(self.known), FACTORS))
+        own, size = self._own(terms, starts)
+        at = np.concatenate([[0], np.cumsum(size)])
+        moments = [np.zeros_like(p) for p in (self.w, self.w, self.v, self.v)]
         for _ in range(EPOCHS):
             order = rng.permutation(len(y))
             for lo in range(0, len(y), BATCH):
@@ -123,24 +125,22 @@ class FactorizationMachine:
                 n = size[rows]
                 idx = own[np.repeat(at[:-1][rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 doc = np.repeat(np.arange(len(rows)), n)
-                x = v[idx]
-                s = np.stack([np.bincount(doc, x[:, f], len(rows)) for f in range(x.shape[1])], 1)
-                q = np.bincount(doc, (x * x).sum(1), len(rows))
-                z = self.bias + np.bincount(doc, w[idx], len(rows)) + 0.5 * ((s * s).sum(1) - q)
+                stay = rng.random(len(idx)) >= DROP
+                idx, doc = idx[stay], doc[stay]
+                z, sums, x = self._raw(idx, doc, len(rows))
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
                 self.bias -= RATE * float(err.sum())
                 uniq, inv = np.unique(idx, return_inverse=True)
                 e = err[doc]
-                gw = np.bincount(inv, e, len(uniq)) + L2_W * w[uniq]
-                gv = np.stack([np.bincount(inv, e * (s[doc, f] - x[:, f]), len(uniq))
-                               for f in range(x.shape[1])], 1) + L2_V * v[uniq]
-                for p, g, m1, m2 in ((w, gw, moments[0], moments[1]), (v, gv, moments[2], moments[3])):
+                gw = np.bincount(inv, e, len(uniq)) + L2_W * self.w[uniq]
+                gv = np.stack([np.bincount(inv, e * (sums[doc, f] - x[:, f]), len(uniq))
+                               for f in range(FACTORS)], 1) + L2_V * self.v[uniq]
+                for p, g, m1, m2 in ((self.w, gw, moments[0], moments[1]),
+                                     (self.v, gv, moments[2], moments[3])):
                     m1[uniq] = 0.9 * m1[uniq] + 0.1 * g
                     m2[uniq] = 0.99 * m2[uniq] + 0.01 * g * g
                     p[uniq] -= RATE * (m1[uniq] / (1 - 0.9 ** step)) \
                         / (np.sqrt(m2[uniq] / (1 - 0.99 ** step)) + 1e-6)
-        self.v[:] = 0
-        self.w[known], self.v[known] = w, v
         return self
 
 
@@ -159,17 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Factor
     col = rows.column("terms").combine_chunks()
     col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
     starts = col.offsets.to_numpy().astype(np.int64)
-    return FactorizationMachine().fit(col.values.to_numpy()[starts[0]:starts[-1]].astype(np.int64),
+    return FactorizationMachine().fit(col.values.to_numpy()[starts[0]:starts[-1]],
                                       starts - starts[0], rows.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """doc_id, held_out, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.known, model.w, model.v))
 
     def run(batches):
-        m = FactorizationMachine.__new__(FactorizationMachine)
-        m.bias, m.w, m.v = sent.value
+        m = FactorizationMachine(*sent.value)
         for b in batches:
             col = b.column(2)
             ends = col.offsets.to_numpy().astype(np.int64)
