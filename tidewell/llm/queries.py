@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewell.llm.benchmark_decontamination import op4_benchmark_decontamination
 from tidewell.llm.minhash_dedup import op9_minhash_dedup
 from tidewell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from tidewell.llm.secret_scan import op7_secret_scan
 from tidewell.llm.source_mixing import OP5_SQL, op5_source_mixing
 from tidewell.llm.token_records import op3_token_records
 from tidewell.llm.toxicity_fm import op2_toxicity_fm
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_token_records": op3_token_records,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op7_secret_scan": op7_secret_scan,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 

@@ -59,9 +59,10 @@ def with_terms(docs: DataFrame) -> DataFrame:
 
     def number(c, kind):
         return F.pmod(F.xxhash64(c, F.lit(kind)), F.lit(BUCKETS)).cast("int")
-    hashed = [F.transform("w", lambda w: number(w, 0))] + [
-        F.array_distinct(F.transform("w", lambda w, n=n: number(F.substring(w, 1, n), n)))
-        for n in BEGINNINGS]
+
+    def beginnings(n):
+        return F.array_distinct(F.transform("w", lambda w: number(F.substring(w, 1, n), n)))
+    hashed = [F.transform("w", lambda w: number(w, 0)), *map(beginnings, BEGINNINGS)]
     return docs.select("doc_id", words.alias("w")).select(
         "doc_id", F.array_distinct(F.concat(*hashed)).alias("terms"))
 
