@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewell.llm.benchmark_decontamination import op4_benchmark_decontamination
 from tidewell.llm.minhash_dedup import op9_minhash_dedup
+from tidewell.llm.pii_spans import op6_pii_spans
 from tidewell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from tidewell.llm.secret_scan import op7_secret_scan
 from tidewell.llm.source_mixing import OP5_SQL, op5_source_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_token_records": op3_token_records,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op6_pii_spans": op6_pii_spans,
     "op7_secret_scan": op7_secret_scan,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
