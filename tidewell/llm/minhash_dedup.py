@@ -11,12 +11,12 @@ probability (1 - 0.75^5)^48, about 2 in a million.
 
 Documents with equal shingle sets form one node first.  Candidates of a band
 bucket are never paired with each other wholesale.  Buckets of up to
-``SMALL`` nodes are compared in full; in larger ones every node is compared with
-the smallest, and as 1 - Jaccard is a metric, only nodes at distance
-(0.25, 0.5] from it can be linked to a node that it is linked with, and only to one
-at least their distance less 0.25 away.  Those pairs are compared too; what is not
-linked forms the bucket of the next round.  The components are the same as from
-all pairs of a bucket.
+``SMALL`` nodes are compared in full; in larger ones every node is compared with a
+few centres (one at first, then 8, 16, ...).  As 1 - Jaccard is a metric, only
+nodes at distance (0.25, 0.5] from a centre can be linked to a node that the
+centre is linked with, and only to one at least their distance less 0.25 away.
+Those pairs are compared too; what no centre is linked with forms the bucket of
+the next round.  The components are the same as from all pairs of a bucket.
 
 Defined results: null or empty texts and texts without words have an empty set and
 link with nothing; texts of one to four words have one shingle; rows that share
@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import documents, lower_ascii, store, text_or_empty, with_windows, words
@@ -42,7 +42,7 @@ LINK_PERCENT = 75
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
-SMALL = 8
+SMALL = 24
 #: Estimates below these are not confirmed: seven standard errors of 240
 #: registers below similarity 0.75, and below 0.5 (the reach of a bucket's centre).
 MIN_ESTIMATE, MIN_REACH = 0.55, 0.3
@@ -136,54 +136,59 @@ def sketches(docs: DataFrame) -> DataFrame:
         _sketch, "k string, doc_id long, n long, node string, regs binary, bands array<long>")
 
 
-def _estimates(batches):
-    """Collision-corrected Jaccard estimate of pairs (a, b, regs a, regs b, n a, n b)."""
-    octave = np.arange(0, 60)
-    for b in batches:
-        ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                  for c in ("ra", "rb"))
-        same = (ra == rb).mean(1)
-
-        def in_octave(n):
-            # chance that the minimum of n values has so many leading zeros
-            n = n[:, None].astype(float)
-            hi, lo = (np.exp(n * np.log1p(-(0.5 ** (octave + e)))) if e else
-                      np.where(octave == 0, 0.0, np.exp(n * np.log1p(-(0.5 ** np.maximum(octave, 1)))))
-                      for e in (1, 0))
-            return hi - lo
-        na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
-        chance = (in_octave(na) * in_octave(nb)).sum(1) / (1 << MANTISSA_BITS)
-        j = (same - chance) / (1 - chance)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(j)],
-                                         names=["a", "b", "j"])
+def estimate(ra, rb, na, nb) -> np.ndarray:
+    """Jaccard estimates from registers, corrected for chance agreement.
 
+    Two unequal minima still agree when they fall into the same octave and the
+    same of its 2^10 cells; sets of n shingles have their minimum in octave k
+    with probability (1 - 2^-(k+1))^n - (1 - 2^-k)^n.
+    """
+    edge = 0.5 ** np.arange(0, 61)
 
-# ----------------------------------------------------------------- candidates
+    def in_octave(n):
+        with np.errstate(divide="ignore"):
+            above = np.exp(n[:, None].astype(float) * np.log1p(-edge)[None, :])
+        return np.diff(above, axis=1)
+    chance = (in_octave(na) * in_octave(nb)).sum(1) / (1 << MANTISSA_BITS)
+    return ((ra == rb).mean(1) - chance) / (1 - chance)
 
-def _ordered(pairs: DataFrame, p: str, q: str) -> DataFrame:
-    return pairs.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
+def _likely(least: float):
+    """Keep pairs (bucket, a, b, ra, rb, na, nb) whose estimate is at least ``least``."""
+    def run(batches):
+        for t in batches:
+            r = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                 for c in ("ra", "rb")]
+            j = estimate(*r, *(t.column(c).to_numpy() for c in ("na", "nb")))
+            yield t.select(["bucket", "a", "b"]).filter(pa.array(j >= least))
+    return run
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, dist) of pairs; dist is null where the estimate is below ``least``."""
-    n = nodes.select("node", "n", "regs")
-    a = n.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    b = n.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    # sets of sizes too far apart cannot be within reach
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    d = pairs.join(a, "a").join(b, "b").where(small * 2 >= large)
-    guess = d.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(
-        _estimates, "a string, b string, j double").where(F.col("j") >= least).select("a", "b")
-    sa = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    sb = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return guess.join(sa, "a").join(sb, "b") \
-        .select("a", "b", both.cast("bigint").alias("i"),
-                (F.size("sa") + F.size("sb") - both).cast("bigint").alias("u"))
 
+# ----------------------------------------------------------------- candidates
 
-def _linked(d: DataFrame) -> DataFrame:
-    return d.where(F.col("i") * 100 >= F.col("u") * LINK_PERCENT)
+def _pairs(left: DataFrame, right: DataFrame, on, least: float) -> DataFrame:
+    """Pairs of two sides (node, n, regs) of the same bucket that may be similar:
+    (bucket, a, b), a of the left side."""
+    a = left.select(*on, F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+    b = right.select(*on, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    # sets of sizes too far apart are out of reach
+    near = F.least("na", "nb") * 2 >= F.greatest("na", "nb")
+    return a.join(b, on).where((F.col("a") != F.col("b")) & near) \
+        .select("bucket", "a", "b", "ra", "rb", "na", "nb") \
+        .mapInArrow(_likely(least), "bucket long, a string, b string")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, d) of distinct unordered pairs: the exact Jaccard distance and
+    whether they are linked, from the full shingle sets."""
+    p = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    both = F.size(F.array_intersect("su", "sv"))
+    d = p.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u") \
+        .join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v") \
+        .select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t"))
+    union = F.col("t") - F.col("i")
+    return d.select("u", "v", (1 - F.col("i") / union).alias("d"),
+                    (F.col("i") * 100 >= union * LINK_PERCENT).alias("linked"))
 
 
 def links(sk: DataFrame, docs: DataFrame) -> DataFrame:
@@ -197,38 +202,45 @@ def links(sk: DataFrame, docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("size"), F.min("node").alias("low"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("size > 1") \
         .groupBy("size", "low", "sum").agg(F.min("bucket").alias("bucket"))
-    members = store(each.join(buckets.select("bucket", "size"), "bucket"), "members")
+    members = store(each.join(buckets.select("bucket", "size"), "bucket")
+                    .join(nodes.select("node", "n", "regs"), "node"), "members")
     used = members.select("node").distinct().join(nodes.select("node", "k"), "node")
     texts = row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     sets = store(shingled(texts.join(used, "k").dropDuplicates(["node"]).select("node", "text"))
                  .select("node", "s"), "sets")
+    found = []
 
-    left = members.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias("a"))
-    right = left.select("bucket", F.col("a").alias("b"))
-    pairs = left.join(right, "bucket").where("a < b").select("a", "b").distinct()
-    found = [store(_linked(_confirm(pairs, nodes, sets, MIN_ESTIMATE)).select("a", "b"), "links")]
+    def whole(part):
+        """All pairs of buckets of bounded size."""
+        left = _pairs(part, part, ["bucket"], MIN_ESTIMATE).where("a < b")
+        found.append(store(_confirm(left, sets).where("linked").select("u", "v"), "links"))
 
-    rest = members.where(F.col("size") > SMALL).select("bucket", "node")
+    whole(members.where(F.col("size") <= SMALL))
+    rest, centres = members.where(F.col("size") > SMALL), 1
     while not rest.isEmpty():
-        centre = rest.groupBy("bucket").agg(F.min("node").alias("c"))
-        star = store(rest.join(centre, "bucket").where("node <> c"), "star")
-        known = store(_confirm(_ordered(star, "c", "node"), nodes, sets, MIN_REACH), "known")
-        found.append(_linked(known).select("a", "b"))
-        placed = star.withColumn("a", F.least("c", "node")).withColumn("b", F.greatest("c", "node")) \
-            .join(known, ["a", "b"], "left")
-        placed = store(placed.select("bucket", "node", (1 - F.col("i") / F.col("u")).alias("d"),
-                       F.coalesce(F.col("i") * 100 >= F.col("u") * LINK_PERCENT, F.lit(False))
-                       .alias("near")), "placed")
-        near = placed.where("near").select("bucket", F.col("node").alias("x"), F.col("d").alias("dx"))
-        fringe = placed.where("not near and d <= 0.5").select("bucket", F.col("node").alias("y"),
-                                                              F.col("d").alias("dy"))
-        across = near.join(fringe, "bucket").where("dx >= dy - 0.2500001")
-        found.append(store(_linked(_confirm(_ordered(across, "x", "y"), nodes, sets, MIN_ESTIMATE))
-                           .select("a", "b"), "links"))
-        rest = placed.where("not near").select("bucket", "node")
-        more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rest = store(rest.join(more.select("bucket"), "bucket", "left_semi"), "rest")
-    return reduce(DataFrame.unionByName, found).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        centre = rest.withColumn("r", rank).where(F.col("r") <= centres).drop("r")
+        star = store(_pairs(centre, rest, ["bucket"], MIN_REACH), "star")
+        known = store(_confirm(star, sets), "known")
+        found.append(known.where("linked").select("u", "v"))
+        placed = star.withColumn("u", F.greatest("a", "b")).withColumn("v", F.least("a", "b")) \
+            .join(known, ["u", "v"]).select("bucket", F.col("a").alias("c"), F.col("b").alias("node"),
+                                            "d", "linked")
+        placed = store(placed.join(rest.select("bucket", "node", "n", "regs"), ["bucket", "node"])
+                       .where("d <= 0.5"), "placed")
+        near = placed.where("linked")
+        fringe = placed.where("not linked")
+        edge = fringe.groupBy("bucket", "c").agg(F.min("d").alias("least"))
+        far_side = near.join(edge, ["bucket", "c"]).where("d >= least - 0.2500001")
+        across = _pairs(far_side, fringe, ["bucket", "c"], MIN_ESTIMATE)
+        found.append(store(_confirm(across, sets).where("linked").select("u", "v"), "links"))
+        done = near.select("bucket", "node").unionByName(centre.select("bucket", "node")).distinct()
+        rest = rest.drop("size").join(done, ["bucket", "node"], "left_anti")
+        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        rest = store(rest.join(sizes, "bucket"), "rest")
+        whole(rest.where(F.col("size") <= SMALL))
+        rest, centres = rest.where(F.col("size") > SMALL), max(8, centres * 2)
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
