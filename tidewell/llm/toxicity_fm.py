@@ -11,8 +11,9 @@ factors: an insult next to a mention of a group can weigh more than both alone.
 
 Learning uses at most about ``TRAIN_DOCS`` labelled documents (a fixed part of
 them by a hash of doc_id; all when there are fewer) whose remainder is not held
-out.  Terms are hashed and de-duplicated by Spark; only the term sets of this
-bounded sample reach the driver, where numpy fits the model by Adam.  Terms in
+out.  Terms are hashed, de-duplicated, counted and screened by Spark; only the
+telling terms of this bounded sample reach the driver, where numpy fits the model
+by Adam.  Terms in
 fewer than ``MIN_DOCS`` of them, or whose share among toxic and other documents
 differs by less than ``MIN_Z`` standard errors, stay at zero: else the many
 chance terms of a long text outweigh the few that tell.  Scoring is one pass over the
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, text_or_empty
+from tidewell.llm.common import documents, store, text_or_empty
 from tidewell.sources.tables import load
 
 BUCKETS = 1 << 28
@@ -103,15 +104,7 @@ class FactorizationMachine:
             self.bias = 30.0 if share else -30.0
             return self
         self.bias = float(np.log(share / (1 - share)))
-        # terms that tell nothing stay out of the model
-        every, inv = np.unique(terms, return_inverse=True)
-        count = np.bincount(inv, minlength=len(every))
-        hits = np.bincount(inv, np.repeat(y, np.diff(starts)), len(every))
-        n1 = y.sum()
-        n0 = len(y) - n1
-        spread = np.sqrt(count / len(y) * (1 - count / len(y)) * (1 / n1 + 1 / n0)).clip(1e-9)
-        z = np.abs(hits / n1 - (count - hits) / n0) / spread
-        self.known = every[(count >= MIN_DOCS) & (z >= MIN_Z)].astype(np.int64)
+        self.known = np.unique(terms).astype(np.int64)
         rng, step = np.random.default_rng(11), 0
         self.w = np.zeros(len(self.known))
         self.v = rng.normal(0, 0.02, (len(self.known), FACTORS))
@@ -145,6 +138,21 @@ class FactorizationMachine:
         return self
 
 
+def telling(sample: DataFrame) -> list[int]:
+    """Sorted numbers of the terms whose share among toxic and other documents
+    differs clearly; their number is bounded by the sample's."""
+    n, n1 = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    n0 = n - n1
+    if not n0 or not n1:
+        return []
+    c, hits = F.col("c"), F.col("hits")
+    spread = F.sqrt(c / n * (1 - c / n) * (1 / n1 + 1 / n0))
+    kept = sample.select("y", F.explode("terms").alias("t")).groupBy("t") \
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("hits")) \
+        .where((c >= MIN_DOCS) & (F.abs(hits / n1 - (c - hits) / n0) >= MIN_Z * spread) & (spread > 0))
+    return sorted(r["t"] for r in kept.select("t").collect())
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> FactorizationMachine:
     known = labels.where("toxic is not null and doc_id is not null") \
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("y")) \
@@ -154,14 +162,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Factor
     keep = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(part))
                        < int(part * min(1.0, bound / max(n, 1))))
     # one row per doc_id, the bound holds for repeated rows too
-    rows = with_terms(docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-                      .select("doc_id", "text").dropDuplicates(["doc_id"])) \
-        .join(keep, "doc_id").orderBy("doc_id").select("terms", "y").toArrow()
+    sample = store(with_terms(docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+                              .select("doc_id", "text").dropDuplicates(["doc_id"]))
+                   .join(keep, "doc_id").select("doc_id", "terms", F.col("y").cast("double").alias("y")),
+                   "toxicity_sample")
+    told = telling(sample)
+    rows = sample.select("doc_id", "y", F.array_intersect(
+        "terms", F.array(*[F.lit(t) for t in told]).cast("array<int>")).alias("terms")) \
+        .orderBy("doc_id").toArrow()
     col = rows.column("terms").combine_chunks()
     col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
     starts = col.offsets.to_numpy().astype(np.int64)
     return FactorizationMachine().fit(col.values.to_numpy()[starts[0]:starts[-1]],
-                                      starts - starts[0], rows.column("y").to_numpy().astype(float))
+                                      starts - starts[0], rows.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
