@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewell.llm.attention_lm import op8_attention_lm
 from tidewell.llm.benchmark_decontamination import op4_benchmark_decontamination
 from tidewell.llm.minhash_dedup import op9_minhash_dedup
 from tidewell.llm.pii_spans import op6_pii_spans
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_pii_spans": op6_pii_spans,
     "op7_secret_scan": op7_secret_scan,
+    "op8_attention_lm": op8_attention_lm,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
