@@ -9,8 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.benchmark_decontamination import drop_leaks
 from tidewell.llm.common import documents, store
+from tidewell.llm.minhash_dedup import keep_one
 from tidewell.llm.quality_rules import keep_good
+from tidewell.llm.source_mixing import emit
+from tidewell.llm.token_records import token_records
+from tidewell.sources.tables import load
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +23,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, the smallest doc_id."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of ``benchmark``."""
+    return drop_leaks(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight takes it (0 to 3 times)."""
+    return emit(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token records and read them back: doc_id, start, n_tokens, ids_crc32."""
+    return token_records(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_output", token_output),
 ]
 
 # Token ids need a tokenizer, which SQL cannot express.
