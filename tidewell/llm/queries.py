@@ -7,6 +7,7 @@ from tidewell.llm.benchmark_decontamination import op4_benchmark_decontamination
 from tidewell.llm.minhash_dedup import op9_minhash_dedup
 from tidewell.llm.pii_spans import op6_pii_spans
 from tidewell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from tidewell.llm.repeat_removal import op10_repeat_removal
 from tidewell.llm.secret_scan import op7_secret_scan
 from tidewell.llm.source_mixing import OP5_SQL, op5_source_mixing
 from tidewell.llm.token_records import op3_token_records
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_attention_lm": op8_attention_lm,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_repeat_removal": op10_repeat_removal,
 }
 
 SQL = {
