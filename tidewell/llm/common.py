@@ -7,6 +7,8 @@ columns of the input never clash with them.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, "llm", name, fresh=True)
     df.write.mode("overwrite").parquet(f"{path}/t")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps whose results are stored;
+    it does so once the objects that refer to them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

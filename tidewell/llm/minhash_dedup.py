@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, lower_ascii, store, text_or_empty, with_windows, words
+from tidewell.llm.common import documents, lower_ascii, release, store, text_or_empty, with_windows, words
 from tidewell.llm.components import components
 
 SHINGLE = 5
@@ -111,29 +111,35 @@ def _sketch(batches):
             starts = (ends[lo:hi] - ends[lo])[full]
             keys = np.zeros((hi - lo, 2), np.uint64)
             regs = [None] * (hi - lo)
-            bands = [None] * (hi - lo)
             if len(starts):
                 for j in range(2):   # sums of remixed shingles do not depend on their order
                     y = (x ^ _XOR[j]) * _MUL[j + 2]
                     y = (y ^ (y >> np.uint64(31))) * _MUL[j + 4]
                     keys[full, j] = np.add.reduceat(y ^ (y >> np.uint64(29)), starts)
-                got = registers(x, starts)
-                hashed = band_hashes(got).view(np.int64)
-                for i, g, h in zip(np.flatnonzero(full).tolist(), got, hashed):
-                    regs[i], bands[i] = g.tobytes(), h
+                for i, g in zip(np.flatnonzero(full).tolist(), registers(x, starts)):
+                    regs[i] = g.tobytes()
             yield pa.RecordBatch.from_arrays([
                 *(b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)),
                 pa.array(n.astype(np.int64)),
                 pa.array([f"{p:016x}{q:016x}" for p, q in keys.tolist()]),
-                pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["k", "doc_id", "n", "node", "regs", "bands"])
+                pa.array(regs, pa.binary())], names=["k", "doc_id", "n", "node", "regs"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """k, doc_id, n (set size), node (128 bits of the set), regs, bands."""
+    """k, doc_id, n (set size), node (128 bits of the set) and regs."""
     d = shingled(row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")))
     return d.select("k", "doc_id", "s").mapInArrow(
-        _sketch, "k string, doc_id long, n long, node string, regs binary, bands array<long>")
+        _sketch, "k string, doc_id long, n long, node string, regs binary")
+
+
+def _banded(batches):
+    """A row per node and band: (bucket, id)."""
+    for b in batches:
+        if b.num_rows:
+            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(band_hashes(regs).view(np.int64).ravel()),
+                 pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "id"])
 
 
 def estimate(ra, rb, na, nb) -> np.ndarray:
@@ -193,21 +199,26 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(sk: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) links between nodes that connect every group of near duplicates."""
+    spark = sk.sparkSession
+    # the short id only spares bytes: two nodes that shared one would meet in more buckets
     nodes = store(sk.where("n > 0").groupBy("node").agg(
-        F.min("k").alias("k"), F.first("n").alias("n"),
-        F.first("regs").alias("regs"), F.first("bands").alias("bands")), "nodes")
-    each = nodes.select("node", F.explode("bands").alias("bucket"))
+        F.min("k").alias("k"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        .withColumn("id", F.xxhash64("node")), "nodes")
+    release(spark)
+    each = nodes.select("id", "regs").mapInArrow(_banded, "bucket long, id long")
     # buckets with the same members propose the same pairs: one of them is enough
-    buckets = each.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("low"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("size > 1") \
-        .groupBy("size", "low", "sum").agg(F.min("bucket").alias("bucket"))
-    members = store(each.join(buckets.select("bucket", "size"), "bucket")
-                    .join(nodes.select("node", "n", "regs"), "node"), "members")
+    buckets = store(each.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.bit_xor("id").alias("mix"))
+        .where("size > 1").groupBy("size", "low", "mix").agg(F.min("bucket").alias("bucket")), "buckets")
+    release(spark)
+    proposed = store(each.join(buckets.select("bucket", "size"), "bucket"), "proposed")
+    release(spark)
+    members = store(proposed.join(nodes.select("id", "node", "n", "regs"), "id").drop("id"), "members")
     used = members.select("node").distinct().join(nodes.select("node", "k"), "node")
     texts = row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     sets = store(shingled(texts.join(used, "k").dropDuplicates(["node"]).select("node", "text"))
                  .select("node", "s"), "sets")
+    release(spark)
     found = []
 
     def whole(part):
@@ -239,6 +250,7 @@ def links(sk: DataFrame, docs: DataFrame) -> DataFrame:
         sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rest = store(rest.join(sizes, "bucket"), "rest")
         whole(rest.where(F.col("size") <= SMALL))
+        release(spark)
         rest, centres = rest.where(F.col("size") > SMALL), max(8, centres * 2)
     return reduce(DataFrame.unionByName, found)
 
@@ -247,6 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: k, doc_id, n, node, component_id and keeper
     (the one key of the component that stays)."""
     sk = store(sketches(docs), "sketches")
+    release(docs.sparkSession)
     roots = components(links(sk, docs))
     own = sk.where("n > 0").select("node", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")
                                    .alias("who")).groupBy("node").agg(F.min("who").alias("who"))
