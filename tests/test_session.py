@@ -1,13 +1,6 @@
 """Session helpers."""
 
-from tidewell.session import CLUSTER_CONF, shared_dir, suggest_shuffle_partitions
-
-
-def test_shuffle_partition_sizing():
-    assert suggest_shuffle_partitions(0) == 8
-    assert suggest_shuffle_partitions(256 << 20) == 8
-    assert suggest_shuffle_partitions(100 << 40) == 100_000
-    assert suggest_shuffle_partitions(1 << 40) == 4096
+from tidewell.session import CLUSTER_CONF, shared_dir
 
 
 def test_shared_dir_uses_session_checkpoint_dir(spark):

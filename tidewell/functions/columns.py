@@ -113,13 +113,18 @@ def lenient_bigint(c: ColumnOrName) -> Column:
     return lenient_int(c, "bigint")
 
 
-_ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+_ISO_DATE = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}"
+
+
+def _dashed(c: Column) -> Column:
+    """'2024/01/02...' -> '2024-01-02...'."""
+    return F.regexp_replace(c, r"^(\s*\d{4})/(\d{1,2})/", "$1-$2-")
 
 
 def text_to_timestamp(c: ColumnOrName) -> Column:
-    """ISO timestamp text -> timestamp; text without a full y-m-d -> NULL."""
+    """ISO (or y/m/d) timestamp text -> timestamp; text without a full y-m-d -> NULL."""
     c = _c(c)
-    return F.when(c.rlike(_ISO_DATE), c.try_cast("timestamp"))
+    return F.when(c.rlike(_ISO_DATE), _dashed(c).try_cast("timestamp"))
 
 
 def text_to_date(c: ColumnOrName) -> Column:
@@ -130,7 +135,7 @@ def text_to_date(c: ColumnOrName) -> Column:
 def text_prefix_date(c: ColumnOrName) -> Column:
     """First ten characters as an ISO date (PRJ4)."""
     head = F.substring(_c(c), 1, 10)
-    return F.when(head.rlike(_ISO_DATE), head.try_cast("date"))
+    return F.when(head.rlike(_ISO_DATE), _dashed(head).try_cast("date"))
 
 
 def compact_date(c: ColumnOrName) -> Column:
@@ -298,13 +303,16 @@ def first_token(c: ColumnOrName, markers: Sequence[str] = HYBRID_MARKERS,
                 placeholders: Sequence[str] = GENUS_PLACEHOLDERS) -> Column:
     """First word, capitalised; a leading marker word is skipped when more
     words follow; placeholder words and blanks give NULL."""
-    toks = F.split(strip_all(_c(c)), r"\s+")
-    first = F.get(toks, 0)
-    skip = F.lower(first).isin(*markers) & (F.size(toks) > 1)
-    tok = F.when(skip, F.get(toks, 1)).otherwise(first)
-    word = F.concat(F.upper(F.substring(tok, 1, 1)), F.lower(F.substring(tok, 2, 1 << 20)))
-    return F.when(F.lower(tok).isin(*placeholders) | tok.isNull(), F.lit(None)) \
-            .otherwise(word)
+    def pick(toks):
+        skip = F.lower(F.get(toks, 0)).isin(*markers) & (F.size(toks) > 1)
+        return F.when(skip, F.get(toks, 1)).otherwise(F.get(toks, 0))
+
+    def word(tok):
+        whole = F.concat(F.upper(F.substring(tok, 1, 1)), F.lower(F.substr(tok, F.lit(2))))
+        return F.when(~F.lower(tok).isin(*placeholders), whole)
+    # each step sees the value of the one before, evaluated once
+    split = F.array(F.split(strip_all(_c(c)), r"\s+"))
+    return F.element_at(F.transform(F.transform(split, pick), word), 1)
 
 
 def month_abbrev(month: ColumnOrName) -> Column:
@@ -332,7 +340,9 @@ def display_fixed(c: ColumnOrName, digits: int, suffix: str) -> Column:
 
 
 def title_case(c: ColumnOrName) -> Column:
-    return F.initcap(F.lower(_c(c)))
+    """Capital at the start of every run of letters: "o'neil 2nd" -> "O'Neil 2Nd"."""
+    split = F.regexp_replace(F.lower(_c(c)), r"([^\p{L}])", "$1\u0001 ")
+    return F.replace(F.initcap(split), F.lit("\u0001 "), F.lit(""))
 
 
 # --------------------------------------------------------------------------

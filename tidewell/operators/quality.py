@@ -151,18 +151,19 @@ class Freshness:
 
 def freshness_report(tables: Mapping[str, DataFrame], rules: Sequence[Freshness],
                      as_of: str) -> DataFrame:
-    """Age in days of each feed's newest row against warn/error limits (FRS1).
+    """Age of each feed's newest row against warn/error limits (FRS1).
 
-    ``as_of`` is a fixed date so a report repeats; one ``max`` aggregate per
-    feed.
+    Limits are elapsed time: 30 days and 5 hours are more than 30 days.
+    ``as_of`` is a fixed date or time so a report repeats; one ``max`` aggregate
+    per feed; ``age_days`` are whole elapsed days.
     """
     parts = []
     for r in rules:
-        newest = tables[r.feed].agg(F.max(F.to_date(F.col(r.ts_column))).alias("newest"))
-        age = F.datediff(F.lit(as_of).cast("date"), F.col("newest"))
+        newest = tables[r.feed].agg(F.max(F.col(r.ts_column).cast("timestamp")).alias("newest"))
+        age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("newest")) / F.lit(86_400_000_000)
         parts.append(newest.select(
-            F.lit(r.feed).alias("feed"), F.col("newest").alias("newest_date"),
-            age.cast("int").alias("age_days"),
+            F.lit(r.feed).alias("feed"), F.to_date("newest").alias("newest_date"),
+            F.floor(age).cast("int").alias("age_days"),
             F.when(F.col("newest").isNull() | (age > r.error_days), F.lit("error"))
              .when(age > r.warn_days, F.lit("warn")).otherwise(F.lit("pass")).alias("status")))
     out = parts[0]

@@ -49,7 +49,10 @@ def refresh_cutoff(spark: SparkSession, path: str, month_col: str,
     """First day of the oldest month to rebuild, or None for an empty table."""
     try:
         target = read_table(spark, path, month_col)
-    except AnalysisException:            # folder without data files yet
+    except AnalysisException as exc:
+        # only a missing folder or one without data files is an empty table
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     last = target.agg(F.max(month_col)).first()[0]
     if last is None:

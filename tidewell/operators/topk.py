@@ -132,6 +132,8 @@ def hash_sample(df: DataFrame, n: int, key: str | None, seed: str = "42") -> Dat
     order = [F.asc("__h")] + ([F.asc(key)] if key else [])
     if cut is None:                                             # empty input
         return hashed.limit(0).drop("__h")
-    z_cut, d_cut = cut
-    cand = hashed.filter((zeros > z_cut) | ((zeros == z_cut) & (digit <= d_cut)))
+    z, d = cut
+    # the same cut as a text bound, so that the filter names the digest once
+    bound = "0" * z + format(d + 1, "x") if d < 15 else "0" * (z - 1) + "1" if z else None
+    cand = hashed.filter(F.col("__h") < bound) if bound else hashed
     return cand.orderBy(*order).limit(n).drop("__h")

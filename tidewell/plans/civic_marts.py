@@ -443,6 +443,12 @@ def mart_weather_records(s: Frames) -> DataFrame:
 
 
 # ------------------------------------------------------------------ build info & metrics
+# the marts whose rows mart_build_info adds up
+BUILD_INFO_INPUTS = ("mart_permits_monthly", "mart_crime_monthly", "mart_fire_monthly",
+                     "mart_inspections", "mart_csr_monthly", "mart_licenses_by_industry",
+                     "mart_art_by_type", "mart_parks_points", "mart_trees_summary")
+
+
 def mart_build_info(m: Frames, built_at: str) -> DataFrame:
     """Build time plus the total of nine grain counts (scalar subqueries)."""
     parts = [m["mart_permits_monthly"].select(F.sum("permit_count")),
@@ -465,6 +471,13 @@ def mart_build_info(m: Frames, built_at: str) -> DataFrame:
 CIVIC_METRICS_PATH = Path(__file__).with_name("civic_metrics.yml")
 
 
+def derived_inputs(name: str) -> list[str]:
+    """The marts that a derived mart reads."""
+    if name == "mart_build_info":
+        return list(BUILD_INFO_INPUTS)
+    return sorted({x["table"] for x in load_metrics(CIVIC_METRICS_PATH)})
+
+
 def mart_metrics(m: Frames, registry_path: str | Path = CIVIC_METRICS_PATH) -> DataFrame:
     return metric_table(m, load_metrics(registry_path))
 
@@ -598,6 +611,12 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
     refresh their trailing window instead of being rebuilt.
     """
     from tidewell.operators.refresh import full_build, refresh
+    asked = list(names or ())
+    derived = [n for n in DERIVED if n in asked or not names]
+    if names:
+        # a derived mart brings the marts that it reads
+        names = list(dict.fromkeys([n for n in asked if n not in DERIVED]
+                                   + [x for n in derived for x in derived_inputs(n)]))
     needed = None
     if names:
         needed = set()
@@ -613,7 +632,9 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
         if feed in month_partitioned:
             # month folders: a trailing-window refresh reads only its months
             (df.withColumn(STAGE_MONTH, A.month_start(month_partitioned[feed]))
-               .write.mode("overwrite").partitionBy(STAGE_MONTH).parquet(path))
+               .hint("rebalance", STAGE_MONTH)
+               .write.mode("overwrite").option("partitionOverwriteMode", "static")
+               .partitionBy(STAGE_MONTH).parquet(path))
         else:
             df.write.mode("overwrite").parquet(path)
         staged[feed] = spark.read.parquet(path)
@@ -624,6 +645,9 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
         frames["mart_inspections"] = spark.read.parquet(p)
     written = []
     lazy = marts_for(frames, names)
+    missing = [n for n in names or () if n not in lazy]
+    if missing:
+        raise KeyError(f"marts whose feeds are not landed: {missing}")
     for n, df in lazy.items():
         p = f"{out_dir}/marts/{n}"
         if n in INCREMENTAL:
@@ -637,19 +661,15 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
             df.write.mode("overwrite").parquet(p)
         written.append(n)
     marts = {n: read_mart(spark, out_dir, n, ordered=False) for n in written}
-    if not names or "mart_build_info" in names:
-        try:
-            mart_build_info(marts, built_at).write.mode("overwrite").parquet(
-                f"{out_dir}/marts/mart_build_info")
-            written.append("mart_build_info")
-        except KeyError:
-            pass
-    if not names or "mart_metrics" in names:
-        try:
-            mart_metrics(marts).write.mode("overwrite").parquet(f"{out_dir}/marts/mart_metrics")
-            written.append("mart_metrics")
-        except KeyError:
-            pass
+    for n in derived:
+        lacking = [x for x in derived_inputs(n) if x not in marts]
+        if lacking and n in asked:
+            raise KeyError(f"{n} needs marts that were not built: {lacking}")
+        if lacking:                      # a landing of some feeds only
+            continue
+        df = mart_build_info(marts, built_at) if n == "mart_build_info" else mart_metrics(marts)
+        df.write.mode("overwrite").parquet(f"{out_dir}/marts/{n}")
+        written.append(n)
     return written
 
 

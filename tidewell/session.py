@@ -7,7 +7,6 @@ splitting of shuffles).  The Spark UI stays off.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,12 +18,15 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
+# settings of a session that already exists; partition overwrite stays a matter
+# of each write, so a full rebuild never keeps partitions of the table before
+PINNED = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled")
+
 
 # Settings for a large cluster (hundreds of executors, tens of TB per job).
 # Shuffle partitions start high and AQE coalesces them to ~256 MB each, so
@@ -44,14 +46,6 @@ CLUSTER_CONF = {
 }
 
 
-def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20,
-                               floor: int = 8, cap: int = 100_000) -> int:
-    """Shuffle partitions for a job reading ``input_bytes``: one per
-    ``target_bytes`` of input (an upper bound of shuffle size for these
-    aggregating jobs); AQE coalesces the rest at run time."""
-    return max(floor, min(cap, -(-input_bytes // target_bytes)))
-
-
 def get_session(master: str | None = None, app: str = "tidewell",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None, profile: str = "local") -> SparkSession:
@@ -75,18 +69,14 @@ def get_session(master: str | None = None, app: str = "tidewell",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     # session-scoped settings also apply when the session already existed
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
-              "spark.sql.adaptive.enabled",
-              "spark.sql.sources.partitionOverwriteMode"):
+    for k in PINNED:
         spark.conf.set(k, conf[k])
     return spark
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
     """Apply the session-scoped settings to a session built elsewhere."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
-              "spark.sql.adaptive.enabled",
-              "spark.sql.sources.partitionOverwriteMode"):
+    for k in PINNED:
         spark.conf.set(k, BASE_CONF[k])
     return spark
 
@@ -95,21 +85,22 @@ def shared_dir(spark: SparkSession, *parts: str, fresh: bool = False) -> str:
     """A folder under the cluster's shared checkpoint directory.
 
     The directory comes from ``spark.checkpoint.dir`` (or the context's
-    checkpoint dir).  Only when neither is set (local tests) do we create one
-    and register it, so ``DataFrame.checkpoint()`` works too.  ``fresh=True``
+    checkpoint dir).  When neither is set, a cluster raises; only a local master
+    (tests) gets a folder of its own, registered so ``DataFrame.checkpoint()``
+    works too.  Folders are made through Hadoop's file system layer.  ``fresh=True``
     appends a unique leaf so concurrent or repeated runs never collide.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewell-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     path = "/".join([base.rstrip("/"), "tidewell", *parts])
     if fresh:
         path = f"{path}/{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    elif "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(folder)
     return path

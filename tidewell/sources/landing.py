@@ -129,13 +129,17 @@ def read_features(spark: SparkSession, path: str, attributes: T.StructType,
 
 
 # ---------------------------------------------------------------------- sinks
-def land_csv_text(df: DataFrame, path: str, compression: str | None = None) -> None:
+def land_csv_text(df: DataFrame, path: str, compression: str | None = None,
+                  max_rows: int = 0) -> None:
     """Write a frame as header CSV with every value as text (optionally
-    gzip-compressed, as national bulk files arrive)."""
+    gzip-compressed, as national bulk files arrive; files of at most
+    ``max_rows`` rows when given)."""
     w = (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
            .write.mode("overwrite").option("header", True))
     if compression:
         w = w.option("compression", compression)
+    if max_rows:
+        w = w.option("maxRecordsPerFile", max_rows)
     w.csv(path)
 
 
@@ -154,12 +158,12 @@ def land_json_pages(df: DataFrame, path: str, page_rows: int = 50000) -> None:
     paged = text.withColumn("page", F.floor(F.monotonically_increasing_id() / page_rows))
     pages = paged.groupBy("page").agg(
         F.to_json(F.collect_list(F.struct(*text.columns))).alias("value"))
-    pages.write.mode("overwrite").partitionBy("page").text(path)
+    pages.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("page").text(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table (SNK1, SNK3) as Parquet."""
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

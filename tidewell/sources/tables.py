@@ -27,15 +27,3 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register every table as a temp view under its own name."""
     for n in names:
         load(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
-def spread_to_cores(df: DataFrame) -> DataFrame:
-    """Give row-wise work at least one partition per core.
-
-    A file written as a single row group is one input split, so every
-    expression fused into its scan runs in one task.  When the input has
-    fewer splits than the cluster has cores, a round-robin repartition
-    spreads it; on a real dataset (thousands of splits) this is a no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
