@@ -8,6 +8,7 @@ columns of the input never clash with them.
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps whose results are stored;
-    it does so once the objects that refer to them are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    it does so, shortly after, once the objects that refer to them are collected."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

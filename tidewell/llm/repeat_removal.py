@@ -30,16 +30,15 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, store, text_or_empty
+from tidewell.llm.common import documents, release, store, text_or_empty
 from tidewell.llm.token_records import text_slices
 
 MATCH = 50
@@ -47,7 +46,7 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)   # a fixed perfect difference set
 SAMPLE = MATCH - PERIOD + 1
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20       # text behind one bucket, so its keys fit a task easily
-SAMPLE_BITS = 39             # of a sample key within its bucket; a clash only adds work
+SAMPLE_BITS = 32             # of a sample key within its bucket; a clash only adds work
 LAST = (1 << 63) - 1         # the rank of a null doc_id
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -187,7 +186,7 @@ def _send_samples(bits: int):
                 row = _row(pa.Table.from_batches([b.slice(i, 1)]))
                 _, keys, _, several = _sampled(row, bits)
                 rest = keys & np.uint64((1 << SAMPLE_BITS) - 1)
-                rows = [(k, row["chunk"], _bytes(rest[lo:hi], 5), np.packbits(several[lo:hi]).tobytes(), 0, 0)
+                rows = [(k, row["chunk"], _bytes(rest[lo:hi], SAMPLE_BITS // 8), np.packbits(several[lo:hi]).tobytes(), 0, 0)
                         for k, lo, hi in _by_bucket(keys, SAMPLE_BITS + bits, bits)]
                 yield from _table(rows, _SENT).to_batches()
     return run
@@ -195,7 +194,7 @@ def _send_samples(bits: int):
 
 def _answer_samples(table: pa.Table) -> pa.Table:
     """Bits of the keys that occur in more than one text."""
-    parts = [_values(x, 5) for x in table.column("keys").to_pylist()]
+    parts = [_values(x, SAMPLE_BITS // 8) for x in table.column("keys").to_pylist()]
     _, inv, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     again, at, rows = count[inv] > 1, 0, []
     for chunk, bucket, flags, p in zip(*(table.column(c).to_pylist() for c in ("chunk", "bucket", "flags")), parts):
@@ -262,19 +261,29 @@ def _send_suffixes(bits: int):
                 ranks = np.array(row["ranks"])
                 low, high = int(ranks[0]), int(ranks[-1])
                 edge = np.stack([ranks[first] == low, ranks[first] == high], 1)
-                rows = [(k, row["chunk"], _bytes(keys[lo:hi], 8), np.packbits(edge[lo:hi]).tobytes(), low, high)
+                rows = [(k, row["chunk"], _bytes(keys[lo:hi] & _below(bits), _width(bits)),
+                         np.packbits(edge[lo:hi]).tobytes(), low, high)
                         for k, lo, hi in _by_bucket(keys, 64, bits)]
                 yield from _table(rows, _SENT).to_batches()
     return run
 
 
-def _answer_suffixes(table: pa.Table) -> pa.Table:
+def _below(bits: int) -> np.uint64:
+    """The bits of a suffix key that its bucket does not tell."""
+    return np.uint64((1 << (64 - bits)) - 1)
+
+
+def _width(bits: int) -> int:
+    return -(-(64 - bits) // 8)
+
+
+def _answer_suffixes(table: pa.Table, bits: int) -> pa.Table:
     """Bits of the keys that start in a smaller text of another chunk.
 
     Chunks ascend by rank.  An earlier chunk's first text with the key is smaller
     unless it has that chunk's highest rank and this is also the own rank."""
     table = table.sort_by("chunk")
-    parts = [_values(x, 8) for x in table.column("keys").to_pylist()]
+    parts = [_values(x, _width(bits)) for x in table.column("keys").to_pylist()]
     chunk, bucket, flags, low, high = (table.column(c).to_pylist()
                                        for c in ("chunk", "bucket", "flags", "low", "high"))
     every, inv = np.unique(np.concatenate(parts), return_inverse=True)
@@ -341,34 +350,28 @@ def _finish(chunk: pa.Table, runs: pa.Table) -> pa.Table:
 
 # --------------------------------------------------------------------- operator
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of the steps that are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
     c = chunks(docs)
     total = c.select(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     bits = min(24, max(3, int(max(1, total // BUCKET_BYTES)).bit_length()))
-    _release(spark)
+    release(spark)
     answers = store(c.mapInArrow(_send_samples(bits), SENT).groupBy("bucket")
                     .applyInArrow(_answer_samples, BITS), "sample_answers")
-    _release(spark)
+    release(spark)
     segments = store(c.groupBy("chunk").cogroup(answers.groupBy("chunk"))
                      .applyInArrow(_cut(bits), SEGMENT), "segments")
-    _release(spark)
+    release(spark)
     answers = store(segments.mapInArrow(_send_suffixes(bits), SENT).groupBy("bucket")
-                    .applyInArrow(_answer_suffixes, BITS), "suffix_answers")
-    _release(spark)
+                    .applyInArrow(lambda t: _answer_suffixes(t, bits), BITS), "suffix_answers")
+    release(spark)
     runs = store(segments.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _mark(bits), "chunk long, doc int, start long, end long"), "runs")
     done = store(c.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(
         _finish, "key string, rank long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"),
         "repeats_removed")
-    _release(spark)
+    release(spark)
     # a copy of an earlier text goes as a whole when it is long enough
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key"))
     copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("rank")) & (F.col("n_bytes") >= MATCH)
