@@ -267,8 +267,8 @@ def test_civic_quality_and_freshness(spark, built):
     assert rep[("mart_csr_map_sample", "relationships", "request_number")] == (0, "pass")
     assert rep[("stg_air_quality", "unique_combination", "site,obs_date,pollutant")] == (0, "pass")
     fr = {r.feed: (r.age_days, r.status) for r in civic_freshness(frames, "2024-03-01").collect()}
-    assert fr == {"stg_building_permits": (20, "pass"), "stg_crime": (27, "warn"),
-                  "stg_csr_311": (-19, "pass")}
+    assert fr == {"stg_building_permits": (20, "pass"), "stg_crime": (26, "warn"),
+                  "stg_csr_311": (-20, "pass")}
 
 
 def test_ad_hoc_sql_over_marts(spark, built):
@@ -303,3 +303,25 @@ def test_refresh_prunes_month_folders(spark, raw):
     plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [isnotnull(stage_month" in plan and ">= 2024-02-01" in plan
     assert [r.report_number for r in rows.collect()] == ["R2"]
+
+
+def test_derived_mart_by_name_brings_its_inputs(spark, raw, tmp_path):
+    from tidewell.plans import civic_marts as M
+    out = str(tmp_path / "wh")
+    written = M.build_warehouse(spark, raw, out, names=["mart_build_info"])
+    assert "mart_build_info" in written and set(M.BUILD_INFO_INPUTS) <= set(written)
+    some = {k: v for k, v in raw.items() if k != "crime"}
+    with pytest.raises(KeyError, match="not landed"):
+        M.build_warehouse(spark, some, str(tmp_path / "wh2"), names=["mart_build_info"])
+
+
+def test_full_rebuild_drops_months_that_are_gone(spark, raw, tmp_path):
+    from tidewell.plans import civic_marts as M
+    out = str(tmp_path / "wh")
+    M.build_warehouse(spark, raw, out, names=["mart_permits_monthly"])
+    before = M.read_mart(spark, out, "mart_permits_monthly").collect()
+    last = max(r["issue_month"] for r in before)
+    fewer = {**raw, "building_permits": raw["building_permits"].where(f"issueddate < '{last}'")}
+    M.build_warehouse(spark, fewer, out, names=["mart_permits_monthly"])
+    after = M.read_mart(spark, out, "mart_permits_monthly").collect()
+    assert {r["issue_month"] for r in after} == {r["issue_month"] for r in before} - {last}
