@@ -306,7 +306,6 @@ def test_refresh_prunes_month_folders(spark, raw):
 
 
 def test_derived_mart_by_name_brings_its_inputs(spark, raw, tmp_path):
-    from tidewell.plans import civic_marts as M
     out = str(tmp_path / "wh")
     written = M.build_warehouse(spark, raw, out, names=["mart_build_info"])
     assert "mart_build_info" in written and set(M.BUILD_INFO_INPUTS) <= set(written)
@@ -316,7 +315,6 @@ def test_derived_mart_by_name_brings_its_inputs(spark, raw, tmp_path):
 
 
 def test_full_rebuild_drops_months_that_are_gone(spark, raw, tmp_path):
-    from tidewell.plans import civic_marts as M
     out = str(tmp_path / "wh")
     M.build_warehouse(spark, raw, out, names=["mart_permits_monthly"])
     before = M.read_mart(spark, out, "mart_permits_monthly").collect()
@@ -325,3 +323,22 @@ def test_full_rebuild_drops_months_that_are_gone(spark, raw, tmp_path):
     M.build_warehouse(spark, fewer, out, names=["mart_permits_monthly"])
     after = M.read_mart(spark, out, "mart_permits_monthly").collect()
     assert {r["issue_month"] for r in after} == {r["issue_month"] for r in before} - {last}
+
+
+def test_every_ordered_mart_is_read_in_order(spark, built):
+    listed = 0
+    for name in M.MARTS:
+        df = M.read_mart(spark, built[0], name)
+        if not M.mart_order(name, df.columns):
+            continue
+        listed += 1
+        rows = [tuple(r) for r in df.collect()]
+        again = [tuple(r) for r in M.read_mart(spark, built[0], name, ordered=False).collect()]
+        assert sorted(map(str, rows)) == sorted(map(str, again))
+        for measure, marts in M._BY_MEASURE.items():
+            if name in marts:
+                seen = [r[measure] for r in df.collect() if r[measure] is not None]
+                assert seen == sorted(seen, reverse=True), name
+    assert listed == 53
+    first = [r["record_type"] for r in M.read_mart(spark, built[0], "mart_weather_records").collect()]
+    assert first == [x for x in M.RECORD_ORDER if x in first]

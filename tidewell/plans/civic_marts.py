@@ -3,7 +3,7 @@
 Each mart takes the staging frames it needs (by name) and returns a lazy
 DataFrame.  Sums and means of float readings use ``stable_sum`` /
 ``stable_mean`` so a rebuild gives the same bits on any partitioning.  Marts do not sort: order is applied when a mart is read
-(``MART_ORDER``), except where a limit makes order part of the result
+(``mart_order``), except where a limit makes order part of the result
 (top-N and fixed-size samples).  ``build_warehouse`` persists staging once
 (several marts share it), writes every mart as Parquet and can refresh the
 three month-keyed marts incrementally.
@@ -552,20 +552,52 @@ DERIVED = ("mart_build_info", "mart_metrics")
 
 # the order each mart is read in (SRT1; '-' = descending); marts not listed
 # have no defined order
-MART_ORDER: dict[str, list[str]] = {
-    "mart_air_category_days": ["severity"],
-    "mart_air_monthly": ["obs_month", "pollutant"],
-    "mart_air_sites": ["-avg_aqi", "site", "county"],
-    "mart_air_worst_days": ["-max_aqi", "obs_date"],
-    "mart_crime_by_category": ["-incident_count", "offense_category"],
-    "mart_crime_monthly": ["crime_month"],
-    "mart_csr_monthly": ["request_month"],
-    "mart_fire_monthly": ["call_month"],
-    "mart_permits_monthly": ["issue_month"],
-    "mart_parks_size_bands": ["sort_order"],
-    "mart_weather_records": ["record_type"],
-    "mart_metrics": ["metric_name"],
+# the measure that a mart is listed by, largest first
+_BY_MEASURE = {
+    "artwork_count": ("mart_art_by_type",), "incident_count": ("mart_crime_by_category",),
+    "request_count": ("mart_csr_by_department", "mart_csr_by_method", "mart_csr_by_type"),
+    "boardings": ("mart_ferry_by_operator", "mart_transit_by_agency", "mart_transit_by_mode"),
+    "call_count": ("mart_fire_by_type",), "inspection_count": ("mart_inspection_results",),
+    "license_count": ("mart_licenses_by_city", "mart_licenses_by_industry", "mart_licenses_by_ownership",
+                      "mart_str_by_region", "mart_str_by_status", "mart_str_by_type"),
+    "area_acres": ("mart_parks_largest", "mart_parks_points"), "permit_count": ("mart_permits_by_class",),
+    "issue_date": ("mart_permits_map_sample",), "violation_count": ("mart_top_violations",),
+    "tree_count": ("mart_trees_by_condition", "mart_trees_by_genus", "mart_trees_by_species"),
+    "avg_aqi": ("mart_air_sites",), "max_aqi": ("mart_air_worst_days",),
+    "avg_score": ("mart_worst_establishments",),
 }
+# marts listed by their leading columns, by how many
+_BY_LEADING = {
+    1: ("mart_crime_monthly", "mart_csr_monthly", "mart_ferry_annual", "mart_ferry_monthly",
+        "mart_ferry_seasonal", "mart_fire_monthly", "mart_inspections_over_time", "mart_licenses_monthly",
+        "mart_permits_monthly", "mart_river_annual", "mart_river_monthly_normals",
+        "mart_snowpack_annual_peak", "mart_tides_annual", "mart_transit_light_rail_monthly",
+        "mart_transit_monthly", "mart_trees_planted_by_year", "mart_weather_annual",
+        "mart_weather_monthly_normals"),
+    2: ("mart_air_monthly", "mart_crime_by_hour_weekday", "mart_fire_by_hour_weekday"),
+}
+RECORD_ORDER = ("Hottest day", "Coldest day", "Wettest day", "Snowiest day")
+
+
+def mart_order(name: str, columns: Sequence[str]) -> list:
+    """Sort columns of a mart as it is shown, the other columns breaking ties;
+    empty for marts without an order."""
+    named = {"mart_air_category_days": "severity", "mart_parks_size_bands": "sort_order",
+             "mart_metrics": "metric_name", "mart_snowpack_recent": "obs_date",
+             "mart_weather_recent": "obs_date"}
+    lead: list = []
+    for measure, marts in _BY_MEASURE.items():
+        if name in marts:
+            lead = [F.desc_nulls_last(measure)]
+    for n, marts in _BY_LEADING.items():
+        if name in marts:
+            lead = [F.asc_nulls_last(c) for c in
+                    ([INCREMENTAL[name][3]] if name in INCREMENTAL else columns[:n])]
+    if name in named:
+        lead = [F.asc_nulls_last(named[name])]
+    if name == "mart_weather_records":
+        lead = [F.array_position(F.array(*[F.lit(x) for x in RECORD_ORDER]), F.col("record_type"))]
+    return lead + [F.asc_nulls_last(c) for c in columns] if lead else []
 
 STAGE_MONTH = "stage_month"
 
@@ -678,9 +710,9 @@ def read_mart(spark: SparkSession, out_dir: str, name: str, ordered: bool = True
     if name in INCREMENTAL:
         mcol = INCREMENTAL[name][3]
         df = df.withColumn(mcol, F.col(mcol).cast("date"))
-    if ordered and name in MART_ORDER:
-        df = df.orderBy(*[F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k)
-                          for k in MART_ORDER[name]])
+    order = mart_order(name, df.columns) if ordered else []
+    if order:
+        df = df.orderBy(*order)
     return df
 
 
