@@ -128,8 +128,14 @@ def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that pass the base and every rule, columns unchanged."""
-    return judge(docs).where("_tw_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that pass the base and every rule, columns unchanged.
+
+    The verdict drops rows in a generator: a plain filter would be pushed below
+    the measures and repeat each of them for every rule that names it.
+    """
+    passed = F.filter(F.array(F.col("_tw_keep")), lambda k: k)
+    return judge(docs).withColumn("_tw_one", F.explode(passed)) \
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_quality_rules(spark, sf_dir) -> DataFrame:
