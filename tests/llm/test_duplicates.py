@@ -50,6 +50,19 @@ def test_leaks_in_blocks(spark, make, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in B.leaks(docs, bench).collect()} == {(i, i) for i in range(8)}
 
 
+def test_leaks_of_a_part_and_of_bent_items(spark, make):
+    rnd = random.Random(3)
+    items = [prose(rnd, n, 50000) for n in (59, 100, 100, 40, 24, 24, 60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    part = [items[0][:40], items[1][:50], items[2][50:], items[3][:20] + ["new"] + items[3][20:],
+            items[4][:12] + ["new"] + items[4][12:], items[5][:12] + items[5][13:], items[6][30:42]]
+    docs = make([(i, " ".join(prose(rnd, 20) + w + prose(rnd, 20)), "a") for i, w in enumerate(part)])
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in B.leaks(docs, bench).collect()}
+    assert set(got) == {(i, i) for i in range(6)}        # 12 words in a row are not enough
+    assert got[0, 0] == 40 and got[4, 4] == 24 and got[5, 5] == 23
+    assert [r["doc_id"] for r in B.drop_leaks(docs, bench).collect()] == [6]
+
+
 # ------------------------------------------------------------------ components
 
 def test_components_of_chains_and_stars(spark):

@@ -5,7 +5,12 @@ survives substitutions at the ignored places.  Seeds of the benchmark items
 (test) are joined with seeds of every document position (training) on
 (mask, hash).  Around each hit the item is laid over the document along the
 hit's diagonal and compared word by word; the overlap counts when at least
-``MIN_MATCH`` per cent of the item's words agree.
+``MIN_MATCH`` per cent agree
+* of the whole item's words, or
+* of a stretch of ``RUN`` words around the hit whose first and last word agree, or
+* of the words of an item too short to hold such a stretch on both sides, when
+  one word was put in or left out: the item then follows two neighbouring diagonals.
+So ``RUN`` words in a row are enough of however long an item.
 
 Words here are runs of letters and digits, lower-cased, so punctuation and line
 breaks do not hide a passage.  Items too short for the spaced masks use a mask of
@@ -30,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, text_or_empty
+from tidewell.llm.common import documents, let, text_or_empty
 from tidewell.sources.tables import load
 
 # Fixed masks, each of three pairs of neighbouring words, by the pairs' offsets:
@@ -39,6 +44,7 @@ MASKS = ((0, 3, 8), (0, 4, 9), (0, 6, 9))
 SPAN = 11
 SHORT_MASK, SHORT_SPAN = (0, 2, 2), 4   # 1111
 MIN_MATCH = 70
+RUN = 13
 BLOCK_SEEDS = 500_000
 
 
@@ -94,11 +100,32 @@ def _verified(hits: DataFrame) -> DataFrame:
     The test sits in a generator, after the join: as a filter it would move
     into the join, which would then copy a document's words for every position.
     """
-    start = F.col("_tw_pos") - F.col("_tw_ipos")
-    same = F.size(F.filter(F.col("_tw_iw"), lambda w, i: F.coalesce(
-        (start + i >= 0) & (F.get(F.col("_tw_h"), start + i) == w), F.lit(False))))
-    laid = F.array(F.struct(same.alias("same"), start.alias("start"), F.size("_tw_iw").alias("len")))
-    passed = F.filter(laid, lambda v: v["same"] * 100 >= v["len"] * MIN_MATCH)
+    start, words, at = F.col("_tw_pos") - F.col("_tw_ipos"), F.col("_tw_iw"), F.col("_tw_ipos")
+    n = F.size(words)
+
+    def agree(i, shift=0):
+        return F.coalesce((start + i + shift >= 0)
+                          & (F.get(F.col("_tw_h"), start + i + shift) == F.get(words, i)), F.lit(False))
+
+    def enough(count, of):
+        return count * 100 >= of * MIN_MATCH
+
+    def bent(first, second):
+        """Most agreeing words when the item changes the diagonal once."""
+        zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, lambda s, i: F.struct(
+            (s["a"] + agree(i, first).cast("int")).alias("a"),
+            (F.greatest(s["a"], s["b"]) + agree(i, second).cast("int")).alias("b")),
+            lambda s: F.greatest(s["a"], s["b"]))
+    same = F.size(F.filter(words, lambda w, i: agree(i)))
+    run = F.exists(F.sequence(F.greatest(at - (RUN - 1), F.lit(0)), F.least(at, n - RUN)), lambda lo: agree(lo) & agree(
+        lo + RUN - 1) & enough(F.size(F.filter(F.sequence(lo, lo + RUN - 1), lambda i: agree(i))), F.lit(RUN)))
+    either = F.when(n <= 2 * RUN, F.greatest(*[bent(*x) for x in ((0, 1), (0, -1), (1, 0), (-1, 0))])) \
+        .otherwise(F.lit(0))
+    laid = let(same, lambda c: F.when(enough(c, n) | F.when(n >= RUN, run).otherwise(F.lit(False)), c)
+               .otherwise(let(either, lambda e: F.when(enough(e, n), e))))
+    passed = F.filter(F.array(F.struct(laid.alias("same"), start.alias("start"), n.alias("len"))),
+                      lambda v: v["same"].isNotNull())
     return hits.withColumn("_tw_v", F.explode(passed)).select(
         "*", F.col("_tw_v.same").alias("_tw_same"), F.col("_tw_v.start").alias("_tw_start"),
         F.col("_tw_v.len").alias("_tw_len"))
@@ -122,7 +149,8 @@ def _hits(docs: DataFrame, bench: DataFrame, cols) -> DataFrame:
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id,
-    item_words, matched_words (best diagonal) and start_word."""
+    item_words, matched_words (agreeing words of the best diagonal, which may bend
+    once in a short item) and start_word."""
     best = F.max(F.struct(F.col("_tw_same"), (-F.col("_tw_start")).alias("at")))
     found = _hits(docs, bench, [F.col("doc_id"), F.xxhash64("text").alias("_tw_key")]) \
         .groupBy("doc_id", "_tw_key", "_tw_items", "_tw_len").agg(best.alias("_tw_b")) \
