@@ -1,6 +1,7 @@
 """Operators 4, 9 and 10 and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -63,6 +64,36 @@ def test_leaks_of_a_part_and_of_bent_items(spark, make):
     assert [r["doc_id"] for r in B.drop_leaks(docs, bench).collect()] == [6]
 
 
+def test_masks_miss_no_overlap_that_counts(spark, make):
+    def hit(kept, masks):
+        return any(all(s + o in kept for o in m) for m in masks for s in kept)
+    for n in range(3, 19):                      # every pattern of changed words
+        for gone in itertools.combinations(range(n), n * (100 - B.MIN_MATCH) // 100):
+            assert hit(set(range(n)) - set(gone), [B.MASKS[m] for m in B.masks_of(n)]), (n, gone)
+    long = [B.MASKS[m] for m in B.masks_of(60)]
+    for gone in itertools.combinations(range(B.RUN), 3):    # every stretch of a long item
+        assert hit(set(range(B.RUN)) - set(gone), long), gone
+
+
+def test_leaks_of_short_items_match_brute_force(spark, make):
+    rnd = random.Random(4)
+    items = [prose(rnd, n, 50000) for n in (*range(2, 25), *range(4, 25))]
+    items += [list("猫が窓の外を見て鳴いた日の朝のこと")]
+    bench = spark.createDataFrame([(i, ("" if i == len(items) - 1 else " ").join(w)) for i, w in enumerate(items)],
+                                  "item_id bigint, text string")
+    rows, want = [], set()
+    for i, w in enumerate(items):
+        for k in range(4):
+            changed = rnd.sample(range(len(w)), min(len(w), len(w) * 30 // 100 + (k == 3 and len(w) < 9)))
+            held = [f"new{j}" if j in changed else x for j, x in enumerate(w)]
+            rows.append((len(rows), " ".join(prose(rnd, 9) + held + prose(rnd, 9)), "a"))
+            if (len(w) - len(changed)) * 100 >= len(w) * B.MIN_MATCH:
+                want.add((rows[-1][0], i))
+    rows.append((len(rows), "".join(items[-1]), "a"))
+    want.add((rows[-1][0], len(items) - 1))
+    assert {(r["doc_id"], r["item_id"]) for r in B.leaks(make(rows), bench).collect()} == want
+
+
 # ------------------------------------------------------------------ components
 
 def test_components_of_chains_and_stars(spark):

@@ -13,9 +13,11 @@ hit's diagonal and compared word by word; the overlap counts when at least
 So ``RUN`` words in a row are enough of however long an item.
 
 Words here are runs of letters and digits, lower-cased, so punctuation and line
-breaks do not hide a passage.  Items too short for the spaced masks use a mask of
-four words in a row; items of fewer than four words are no evidence of a leak
-and are not searched for.
+breaks do not hide a passage; letters of scripts written without spaces are words
+of their own.  The masks of four words hit every stretch of ``RUN`` words in which
+at least 9 agree, the lighter ones of items under ``LIGHT_BELOW`` words every
+item of three or more words of which ``MIN_MATCH`` per cent agree.  Items of two
+words are matched whole; a single word is no evidence of a leak and is not searched for.
 
 The document side never shuffles its texts: positions are exploded, probed
 against a broadcast block of benchmark seeds and verified in one stage.  A block
@@ -38,44 +40,42 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import documents, let, text_or_empty
 from tidewell.sources.tables import load
 
-# Fixed masks, each of three pairs of neighbouring words, by the pairs' offsets:
-# 1101100011, 11001100011 and 11000011011 (1: the word counts, 0: it is ignored).
-MASKS = ((0, 3, 8), (0, 4, 9), (0, 6, 9))
-SPAN = 11
-SHORT_MASK, SHORT_SPAN = (0, 2, 2), 4   # 1111
+# Fixed masks by the words' offsets (1: the word counts, 0: it is ignored):
+# 11101, 100111 and 1101001; lighter 111, 1101 and 1011; 11.
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6), (0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1))
+LIGHT_BELOW = 25
+LEAST_WORDS = 2
+# letters that stand side by side without being one word
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 MIN_MATCH = 70
 RUN = 13
 BLOCK_SEEDS = 500_000
 
 
-def norm_words(c: Column) -> Column:
-    """64-bit hashes of the lower-cased runs of letters and digits."""
-    return F.transform(F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), ""),
-                       lambda w: F.xxhash64(w))
+def masks_of(n: int) -> list[int]:
+    """Numbers of the masks that items of ``n`` words use."""
+    return [0, 1, 2] if n >= LIGHT_BELOW else [3, 4, 5] if n > 2 else [6]
 
 
-def _pairs(h: Column) -> Column:
-    """Hash of every two neighbouring word hashes."""
-    return F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
+def norm_words(c: Column) -> Column:
+    """64-bit hashes of the lower-cased runs of letters and digits."""
+    low = F.lower(c)
+    low = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.transform(F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _seeded(d: DataFrame, masks) -> DataFrame:
-    """One row per position and mask that fits: adds _tw_pos, _tw_mask and
-    _tw_hash.  ``_tw_p`` holds the pair hashes (the last one is of half a pair)."""
-    p, pos, mask = F.col("_tw_p"), F.col("_tw_pos"), F.col("_tw_mask")
-    every = (*MASKS, SHORT_MASK)
+def _seeded(d: DataFrame, masks, words: str) -> DataFrame:
+    """One row per position and mask that fits the word hashes ``words``: adds
+    _tw_pos, _tw_mask and _tw_hash."""
+    h, pos = F.col(words), F.col("_tw_pos")
 
-    def offset(k):
-        c = F.lit(every[masks[-1]][k])
-        for m in masks[:-1]:
-            c = F.when(mask == m, F.lit(every[m][k])).otherwise(c)
-        return c
-    last = pos + offset(2)
-    return d.withColumn("_tw_pos", F.explode(F.sequence(F.lit(0), F.size("_tw_p") - 2))) \
-        .withColumn("_tw_mask", F.explode(F.array(*[F.lit(m) for m in masks]))) \
-        .where(last <= F.size("_tw_p") - 2) \
-        .withColumn("_tw_hash", F.xxhash64(mask, F.get(p, pos), F.get(p, pos + offset(1)),
-                                           F.get(p, last)))
+    def seed(m):
+        return F.xxhash64(F.lit(m), *[F.get(h, pos + o) for o in MASKS[m]])
+    fits = F.array(*[F.struct(F.lit(m).alias("m"), F.when(
+        pos + MASKS[m][-1] < F.size(h), seed(m)).alias("s")) for m in masks])
+    return d.withColumn("_tw_pos", F.explode(F.sequence(F.lit(0), F.size(h) - 1))) \
+        .withColumn("_tw_seed", F.explode(fits)).where("_tw_seed.s is not null") \
+        .select(*d.columns, pos, F.col("_tw_seed.m").alias("_tw_mask"), F.col("_tw_seed.s").alias("_tw_hash"))
 
 
 def benchmark_items(bench: DataFrame, text: str = "text") -> DataFrame:
@@ -86,12 +86,11 @@ def benchmark_items(bench: DataFrame, text: str = "text") -> DataFrame:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    d = items.withColumn("_tw_p", _pairs(F.col("_tw_iw")))
-    spaced, short = list(range(len(MASKS))), [len(MASKS)]
-    long_enough = F.size("_tw_iw") >= SPAN
-    s = _seeded(d.where(long_enough), spaced).unionByName(
-        _seeded(d.where(~long_enough & (F.size("_tw_iw") >= SHORT_SPAN)), short))
-    return s.withColumnRenamed("_tw_pos", "_tw_ipos").drop("_tw_p")
+    n = F.size("_tw_iw")
+    parts = [(n >= LIGHT_BELOW, LIGHT_BELOW), ((n > 2) & (n < LIGHT_BELOW), 3), (n == LEAST_WORDS, LEAST_WORDS)]
+    return reduce(DataFrame.unionByName, [
+        _seeded(items.where(which), masks_of(least), "_tw_iw") for which, least in parts]) \
+        .withColumnRenamed("_tw_pos", "_tw_ipos")
 
 
 def _verified(hits: DataFrame) -> DataFrame:
@@ -138,8 +137,8 @@ def _hits(docs: DataFrame, bench: DataFrame, cols) -> DataFrame:
     if not masks:
         masks = [0]
     d = docs.select(*cols, norm_words(text_or_empty("text")).alias("_tw_h")) \
-        .where(F.size("_tw_h") >= SHORT_SPAN).withColumn("_tw_p", _pairs(F.col("_tw_h")))
-    d = _seeded(d, sorted(masks)).drop("_tw_p")
+        .where(F.size("_tw_h") >= LEAST_WORDS)
+    d = _seeded(d, sorted(masks), "_tw_h")
 
     def block(b):
         part = seeds.where(F.pmod(F.col("_tw_hash"), F.lit(blocks)) == b) if blocks > 1 else seeds
