@@ -166,6 +166,13 @@ def test_odd_rows_and_keep_one(odd, none):
     assert D.near_duplicates(none).count() == 0 and D.keep_one(none).count() == 0
 
 
+def test_keep_one_with_32_bit_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, "other words"), (4, "")],
+                                 "doc_id int, text string")
+    kept = D.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and kept.schema == docs.schema
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(8)
     for share in (0.2, 0.5, 0.75, 0.9):

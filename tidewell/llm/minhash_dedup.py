@@ -54,9 +54,10 @@ _MUL = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np
 
 
 def row_key(df: DataFrame, name: str = "k") -> DataFrame:
-    """128 bits of (doc_id, text) as a string."""
-    return df.withColumn(name, F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"),
-                                        F.hex(F.xxhash64(F.lit(7), "text", "doc_id"))))
+    """128 bits of (doc_id, text) as a string, the same for any integer type of doc_id."""
+    doc = F.col("doc_id").cast("bigint")
+    return df.withColumn(name, F.concat(F.hex(F.xxhash64(doc, "text")), F.lit("-"),
+                                        F.hex(F.xxhash64(F.lit(7), "text", doc))))
 
 
 def shingled(df: DataFrame) -> DataFrame:
