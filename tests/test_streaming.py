@@ -47,3 +47,15 @@ def test_stream_counts_late_files(spark):
     assert run(spark, base) == [("2024-01-01", 2, 11), ("2024-02-01", 1, 2), ("2024-03-01", 1, 3)]
     # nothing new: a restart changes nothing
     assert run(spark, base) == [("2024-01-01", 2, 11), ("2024-02-01", 1, 2), ("2024-03-01", 1, 3)]
+
+
+def test_refresh_query_takes_several_batches(spark, sf_small, monkeypatch):
+    from tidewell.plans import registry
+    base = shared_dir(spark, "test_refresh_query", fresh=True)
+    monkeypatch.setattr(registry, "shared_dir", lambda *a, **k: base)
+    got = {r["order_month"]: r["order_count"] for r in registry.stream_refresh(spark, sf_small).collect()}
+    orders = spark.read.parquet(f"{sf_small}/orders.parquet")
+    assert sum(got.values()) == orders.count()
+    staged = spark.read.parquet(f"{base}/staging")
+    batches = staged.groupBy("stage_month").agg(F.countDistinct("batch_id").alias("n"))
+    assert staged.select("batch_id").distinct().count() > 1 and batches.where("n > 1").count() > 0
