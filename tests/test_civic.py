@@ -298,7 +298,7 @@ def test_refresh_prunes_month_folders(spark, raw):
     from tidewell.operators.refresh import window_rows
     out = shared_dir(spark, "test_civic_prune", fresh=True)
     M.build_warehouse(spark, raw, out, names=["mart_crime_monthly"])
-    staged = spark.read.parquet(f"{out}/staging/crime")
+    staged = M.read_staging(spark, out, "crime", own_columns=True)
     rows = window_rows(staged, "report_datetime", dt.date(2024, 2, 1), partition_col="stage_month")
     plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [isnotnull(stage_month" in plan and ">= 2024-02-01" in plan

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,7 +60,7 @@ def test_time_series_and_tides(spark, tmp_path):
     out = read_time_series(spark, str(tmp_path / "flow.json")).collect()
     assert [(r.obs_date[:10], r.value) for r in out] == [("2024-01-01", "512"), ("2024-01-02", "498")]
     (tmp_path / "none.json").write_text(json.dumps({"value": {"timeSeries": []}}))
-    with pytest.raises(EmptyFeed):
+    with pytest.raises(PySparkException, match="no series in"):
         read_time_series(spark, str(tmp_path / "none.json"))
     tides = {"data": [{"year": "2020", "month": "1", "MSL": "6.5", "MHHW": "1", "MLLW": "0",
                        "GT": "11", "highest": "13", "lowest": "-3"}]}

@@ -31,6 +31,16 @@ def exact_mean(c) -> Column:
     return F.avg(_c(c).cast("double"))
 
 
+def decimal_mean(c, digits: int = 2) -> Column:
+    """Mean of DECIMAL values of scale ``digits``, rounded half away from zero in whole
+    numbers, so that half units are decided exactly; DOUBLE, NULL for an all-NULL group."""
+    units = (F.sum(_c(c)) * (10 ** digits)).cast("decimal(38,0)")
+    n = F.count(_c(c)).cast("decimal(20,0)")
+    whole = F.call_function("div", F.abs(units) * F.lit(2).cast("decimal(1,0)") + n,
+                            F.nullif(n, F.lit(0).cast("decimal(20,0)")) * F.lit(2).cast("decimal(1,0)"))
+    return F.signum(units.cast("double")) * whole.cast("double") / float(10 ** digits)
+
+
 def pct(part, whole, digits: int = 0) -> Column:
     """Guarded percentage: 100 * part / whole, NULL when whole is 0."""
     return fixed(_c(part).cast("double") * 100.0 / F.nullif(_c(whole).cast("double"), F.lit(0.0)), digits)

@@ -1,7 +1,8 @@
 """Month-partitioned summary tables: full build and trailing-window refresh.
 
-A summary table lives as Parquet partitioned by its month column.  A full
-build (INC2) overwrites everything.  A refresh (INC1) reads the newest month
+A summary table lives as Parquet partitioned by its month column, in the current
+copy of a versioned table.  A full build (INC2) writes a new copy that readers see
+when it is whole.  A refresh (INC1) reads the newest month
 already in the table, steps back ``lookback_months``, re-aggregates only the
 source rows at or after that cutoff and replaces exactly those months with a
 dynamic partition overwrite.  Running a refresh twice gives the same table;
@@ -15,33 +16,37 @@ months untouched and a lost executor only re-runs its tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.operators import versions
+
 Rollup = Callable[[DataFrame], DataFrame]
 
 
-def _write(df: DataFrame, path: str, month_col: str, dynamic: bool) -> None:
+def _replace_months(df: DataFrame, path: str, month_col: str) -> None:
     # cluster rows by month (few files per month folder) while letting AQE
     # split a month that is much larger than the others
     (df.hint("rebalance", month_col)
        .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+       .option("partitionOverwriteMode", "dynamic")
        .partitionBy(month_col)
-       .parquet(path))
+       .parquet(versions.current_path(df.sparkSession, path)))
 
 
 def read_table(spark: SparkSession, path: str, month_col: str) -> DataFrame:
-    """Read a month-partitioned table back with the month as DATE."""
-    df = spark.read.parquet(path)
+    """Read a month-partitioned table back with the month as DATE; a plain folder
+    without copies (as the stream keeps it) is read as it is."""
+    df = spark.read.parquet(versions.current_path(spark, path) if versions.exists(spark, path) else path)
     return df.withColumn(month_col, F.col(month_col).cast("date"))
 
 
 def full_build(source: DataFrame, rollup: Rollup, path: str, month_col: str) -> None:
     """INC2: rebuild every month from the whole source."""
-    _write(rollup(source), path, month_col, dynamic=False)
+    versions.replace_table(rollup(source), path, [month_col])
 
 
 def refresh_cutoff(spark: SparkSession, path: str, month_col: str,
@@ -90,5 +95,26 @@ def refresh(spark: SparkSession, source: DataFrame, ts_col: str, rollup: Rollup,
     if cutoff is None:
         full_build(source, rollup, path, month_col)
         return {"cutoff": None, "mode": "full"}
-    _write(rollup(window_rows(source, ts_col, cutoff, partition_col)), path, month_col, dynamic=True)
+    _replace_months(rollup(window_rows(source, ts_col, cutoff, partition_col)), path, month_col)
     return {"cutoff": cutoff, "mode": "incremental"}
+
+
+def refresh_months(spark: SparkSession, staged: DataFrame, months: Sequence[date], rollup: Rollup,
+                   path: str, month_col: str, partition_col: str) -> dict:
+    """Rebuild exactly ``months`` from staging stored by ``partition_col``.
+
+    Only the folders of those months are read.  A month that has no rows any more
+    (its file was landed again without them) leaves the table.
+    """
+    if not versions.exists(spark, path):
+        full_build(staged.where(F.col(partition_col).isNotNull()), rollup, path, month_col)
+        return {"mode": "full", "months": None}
+    if not months:
+        return {"mode": "none", "months": ()}
+    rows = staged.where(F.col(partition_col).isin(list(months)))
+    left = {r[0] for r in rows.select(partition_col).distinct().collect()}
+    if left:
+        _replace_months(rollup(rows), path, month_col)
+    versions.drop_folders(spark, [f"{versions.current_path(spark, path)}/{month_col}={m.isoformat()}"
+                                  for m in sorted(set(months) - left)])
+    return {"mode": "months", "months": tuple(months)}

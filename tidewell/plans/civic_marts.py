@@ -4,9 +4,9 @@ Each mart takes the staging frames it needs (by name) and returns a lazy
 DataFrame.  Sums and means of float readings use ``stable_sum`` /
 ``stable_mean`` so a rebuild gives the same bits on any partitioning.  Marts do not sort: order is applied when a mart is read
 (``mart_order``), except where a limit makes order part of the result
-(top-N and fixed-size samples).  ``build_warehouse`` persists staging once
-(several marts share it), writes every mart as Parquet and can refresh the
-three month-keyed marts incrementally.
+(top-N and fixed-size samples).  ``build_marts`` writes the marts from staging, each
+as a new copy that replaces the old one when it is whole, and can refresh the three
+month-keyed marts by month; ``build_warehouse`` stages raw frames first.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewell.functions import columns as C
 from tidewell.functions.numeric import stable_mean, stable_sum
 from tidewell.operators import aggregates as A
+from tidewell.operators import versions as V
 from tidewell.operators.metrics import load_metrics, metric_table
+from tidewell.operators.refresh import full_build, read_table, refresh, refresh_months
 from tidewell.operators.topk import Extreme, extremes, hash_sample, top_rows
 from tidewell.operators.windows import top_per_group
-from tidewell.plans.civic_staging import STAGING
+from tidewell.plans.civic_staging import GROUPED_STAGING, STAGING
+from tidewell.sources.ledger import STAGE_MONTH, Load, read_staged
 
 Frames = Mapping[str, DataFrame]
 
@@ -599,8 +602,6 @@ def mart_order(name: str, columns: Sequence[str]) -> list:
         lead = [F.array_position(F.array(*[F.lit(x) for x in RECORD_ORDER]), F.col("record_type"))]
     return lead + [F.asc_nulls_last(c) for c in columns] if lead else []
 
-STAGE_MONTH = "stage_month"
-
 # month-keyed marts refreshed incrementally: name -> (feed, time column, rollup, month column)
 INCREMENTAL = {
     "mart_crime_monthly": ("crime", "report_datetime", crime_monthly_rollup, "crime_month"),
@@ -634,65 +635,83 @@ def marts_for(staged: Frames, names: Sequence[str] | None = None) -> dict[str, D
 def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
                     names: Sequence[str] | None = None, built_at: str = "1970-01-01 00:00:00",
                     incremental: bool = False) -> list[str]:
-    """Persist staging once, then write each mart as Parquet under ``out_dir``.
+    """Stage raw frames, then write each mart as Parquet under ``out_dir``.
 
     Staging is written to ``out_dir/staging/<feed>`` and read back, so the
     marts sharing a feed (up to eight) never re-parse its text, and lineage
-    is cut at a durable folder.  ``mart_inspections`` is written before the
-    three marts that read it.  With ``incremental`` the month-keyed marts
-    refresh their trailing window instead of being rebuilt.
+    is cut at a durable folder.  All of ``raw`` is staged each time; with
+    ``incremental`` only the month-keyed marts' trailing window is aggregated.
+    ``civic_build.build_from_landing`` keeps a ledger and parses new files only.
     """
-    from tidewell.operators.refresh import full_build, refresh
-    asked = list(names or ())
-    derived = [n for n in DERIVED if n in asked or not names]
-    if names:
-        # a derived mart brings the marts that it reads
-        names = list(dict.fromkeys([n for n in asked if n not in DERIVED]
-                                   + [x for n in derived for x in derived_inputs(n)]))
     needed = None
+    chosen = _asked_and_inputs(names)
     if names:
-        needed = set()
-        for n in names:
-            for d in MARTS.get(n, ((),))[0]:
-                needed.add("food_inspections" if d == "mart_inspections" else d)
+        needed = {"food_inspections" if d == "mart_inspections" else d
+                  for n in chosen for d in MARTS.get(n, ((),))[0]}
+    month_keyed = {feed: ts for feed, ts, _, _ in INCREMENTAL.values()}
     staged = {}
-    month_partitioned = {feed: ts for feed, ts, _, _ in INCREMENTAL.values()}
     for feed, df in staging_frames(raw).items():
         if needed is not None and feed not in needed:
             continue
-        path = f"{out_dir}/staging/{feed}"
-        if feed in month_partitioned:
+        if feed in month_keyed:
             # month folders: a trailing-window refresh reads only its months
-            (df.withColumn(STAGE_MONTH, A.month_start(month_partitioned[feed]))
-               .hint("rebalance", STAGE_MONTH)
-               .write.mode("overwrite").option("partitionOverwriteMode", "static")
-               .partitionBy(STAGE_MONTH).parquet(path))
-        else:
-            df.write.mode("overwrite").parquet(path)
-        staged[feed] = spark.read.parquet(path)
-    frames = dict(staged)
+            df = df.withColumn(STAGE_MONTH, A.month_start(month_keyed[feed]))
+        V.replace_table(df, f"{out_dir}/staging/{feed}", [STAGE_MONTH] if feed in month_keyed else ())
+        staged[feed] = read_staging(spark, out_dir, feed, own_columns=True)
+    return build_marts(spark, staged, out_dir, names, built_at, "window" if incremental else None)
+
+
+def _asked_and_inputs(names: Sequence[str] | None) -> list[str]:
+    """The named marts and those that named derived marts read; empty for all."""
+    asked = list(names or ())
+    return list(dict.fromkeys([n for n in asked if n not in DERIVED]
+                              + [x for n in asked if n in DERIVED for x in derived_inputs(n)]))
+
+
+def build_marts(spark: SparkSession, staged: Frames, out_dir: str, names: Sequence[str] | None = None,
+                built_at: str = "1970-01-01 00:00:00",
+                changes: Mapping[str, Load] | str | None = None) -> list[str]:
+    """Write marts from staging frames; each replaces its old copy when it is whole.
+
+    ``changes`` is None for a full build, "window" to refresh the trailing months of
+    month-keyed marts, or the loads by feed: then these rebuild the months that were
+    touched, and a mart none of whose feeds has new files is left as it is.
+    ``mart_inspections`` is written before the three marts that read it.
+    """
+    asked = list(names or ())
+    derived = [n for n in DERIVED if n in asked or not names]
+    chosen = _asked_and_inputs(names) if names else None
+    loads = changes if isinstance(changes, Mapping) else None
+    frames = {n: df.drop(STAGE_MONTH, "batch", "source_file") for n, df in staged.items()}
+    changed = {f for f in staged if loads is None or loads[f].files}
+    if "food_inspections" in changed:
+        V.replace_table(mart_inspections(frames), f"{out_dir}/marts/mart_inspections")
+        changed.add("mart_inspections")
     if "food_inspections" in frames:
-        p = f"{out_dir}/marts/mart_inspections"
-        mart_inspections(frames).write.mode("overwrite").parquet(p)
-        frames["mart_inspections"] = spark.read.parquet(p)
-    written = []
-    lazy = marts_for(frames, names)
-    missing = [n for n in names or () if n not in lazy]
+        frames["mart_inspections"] = V.read_table(spark, f"{out_dir}/marts/mart_inspections")
+    lazy = marts_for(frames, chosen)
+    missing = [n for n in chosen or () if n not in lazy]
     if missing:
         raise KeyError(f"marts whose feeds are not landed: {missing}")
+    built = set(list_folders(spark, f"{out_dir}/marts"))
+    written = []
     for n, df in lazy.items():
         p = f"{out_dir}/marts/{n}"
+        if n in built and not changed & set(MARTS[n][0]):
+            continue
         if n in INCREMENTAL:
             feed, ts, rollup, mcol = INCREMENTAL[n]
-            if incremental:
-                refresh(spark, frames[feed].filter(F.col(ts).isNotNull()), ts, rollup, p, mcol,
-                        partition_col=STAGE_MONTH)
+            rows = staged[feed].filter(F.col(ts).isNotNull())
+            if loads is not None and n in built:
+                refresh_months(spark, rows, loads[feed].months, rollup, p, mcol, STAGE_MONTH)
+            elif changes is not None and loads is None:
+                refresh(spark, rows, ts, rollup, p, mcol, partition_col=STAGE_MONTH)
             else:
-                full_build(frames[feed], rollup, p, mcol)
+                full_build(staged[feed], rollup, p, mcol)
         elif n != "mart_inspections":
-            df.write.mode("overwrite").parquet(p)
+            V.replace_table(df, p)
         written.append(n)
-    marts = {n: read_mart(spark, out_dir, n, ordered=False) for n in written}
+    marts = {n: read_mart(spark, out_dir, n, ordered=False) for n in lazy}
     for n in derived:
         lacking = [x for x in derived_inputs(n) if x not in marts]
         if lacking and n in asked:
@@ -700,31 +719,40 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
         if lacking:                      # a landing of some feeds only
             continue
         df = mart_build_info(marts, built_at) if n == "mart_build_info" else mart_metrics(marts)
-        df.write.mode("overwrite").parquet(f"{out_dir}/marts/{n}")
+        V.replace_table(df, f"{out_dir}/marts/{n}")
         written.append(n)
     return written
 
 
 def read_mart(spark: SparkSession, out_dir: str, name: str, ordered: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{out_dir}/marts/{name}")
     if name in INCREMENTAL:
         mcol = INCREMENTAL[name][3]
-        df = df.withColumn(mcol, F.col(mcol).cast("date"))
+        df = read_table(spark, f"{out_dir}/marts/{name}", mcol)
+    else:
+        df = V.read_table(spark, f"{out_dir}/marts/{name}")
     order = mart_order(name, df.columns) if ordered else []
     if order:
         df = df.orderBy(*order)
     return df
 
 
+def read_staging(spark: SparkSession, out_dir: str, feed: str, own_columns: bool = False) -> DataFrame:
+    """Typed rows of a staged feed; with ``own_columns`` also the month that they are
+    stored by and, where a ledger is kept, their batch and file."""
+    path = V.current_path(spark, f"{out_dir}/staging/{feed}")
+    if "committed" in list_folders(spark, path):
+        rows = read_staged(spark, path, own_columns and feed not in GROUPED_STAGING)
+        return STAGING[feed](rows) if feed in GROUPED_STAGING else rows
+    df = spark.read.parquet(path)
+    if STAGE_MONTH in df.columns:
+        df = df.withColumn(STAGE_MONTH, F.col(STAGE_MONTH).cast("date"))
+    return df if own_columns else df.drop(STAGE_MONTH)
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the sub-folders of ``path`` on any Hadoop file system
     (local, HDFS, object store); empty when ``path`` does not exist."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
+    return V.names_in(spark, path)
 
 
 def warehouse_frames(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
@@ -734,7 +762,7 @@ def warehouse_frames(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
         base = f"{out_dir}/{kind}"
         for n in list_folders(spark, base):
             frames[prefix + n] = (read_mart(spark, out_dir, n, ordered=False) if kind == "marts"
-                                  else spark.read.parquet(f"{base}/{n}"))
+                                  else read_staging(spark, out_dir, n))
     return frames
 
 

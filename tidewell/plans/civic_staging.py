@@ -276,3 +276,7 @@ STAGING = {
     "trees": stg_trees,
     "weather": stg_weather,
 }
+
+# feeds whose staging groups rows of several files: their ledger keeps the raw rows,
+# and staging is applied when they are read
+GROUPED_STAGING = ("air_quality",)

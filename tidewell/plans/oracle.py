@@ -93,7 +93,8 @@ with monthly as (
 
 SQL["seasonal"] = MONTHLY + f"""
 select cast(month(month) as integer) as month_of_year,
-       {FIX(EXMEAN('total'), 2)} as avg_monthly_total, count(*) as years
+       sign(sum(total)) * ((2 * abs(cast(sum(total) * 100 as hugeint)) + count(total))
+                           // (2 * count(total))) / 100.0 as avg_monthly_total, count(*) as years
 from monthly group by 1"""
 
 SQL["annual_complete"] = MONTHLY + """
@@ -617,8 +618,10 @@ select o_orderkey, o_totalprice, cast(o_orderdate as date) as order_date, o_orde
 from orders, (values ('csv'), ('json')) f(landed_as)"""
 
 from tidewell.plans.civic_queries import CIVIC_SQL  # noqa: E402
+from tidewell.plans.landing_queries import LANDING_SQL  # noqa: E402
 
 SQL.update(CIVIC_SQL)
+SQL.update(LANDING_SQL)
 
 SQL["stream_refresh"] = SQL["month_refresh"]
 
