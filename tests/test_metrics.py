@@ -16,10 +16,12 @@ M3 = {"name": "max_b", "label": "Max b", "description": "Largest b.", "table": "
 
 def test_validate(tmp_path):
     assert [m["name"] for m in validate_metrics([M1, M2])] == ["total_a", "big_a"]
-    with pytest.raises(ValueError, match="missing keys"):
+    with pytest.raises(ValueError, match=r"metric 1 \(total_a\) lacks unit"):
         validate_metrics([{**M1, "unit": ""}])
-    with pytest.raises(ValueError, match="no metrics"):
+    with pytest.raises(ValueError, match="registry is empty"):
         validate_metrics([])
+    with pytest.raises(ValueError, match=r"metric 2 \(unnamed\) lacks label, name; 2 metrics are called total_a"):
+        validate_metrics([M1, {**M2, "name": None, "label": " "}, M1])
     p = tmp_path / "m.json"
     p.write_text(json.dumps({"metrics": [M1, M2]}))
     assert [m["name"] for m in load_metrics(p)] == ["total_a", "big_a"]

@@ -2,11 +2,11 @@
 
 Checks are declared as data (``Check``) and evaluated as Spark jobs:
 
-* row-level checks of a table (not_null, accepted_values, accepted_range)
-  become ``count_if`` terms of a **single** aggregate per table, so a table
-  is scanned once for all of them;
-* unique / unique-combination checks are a grouped count with a partial
-  aggregate (``having count > 1``), reporting the number of duplicated keys;
+* a table is read once for all of its own checks.  A row gives one entry per unique or
+  unique-combination check (the check and the key) and one per row-level check
+  (not_null, accepted_values, accepted_range) that it fails; entries are counted by
+  (check, key), with a partial aggregate, and a check's failures are its keys
+  counted more than once, or its failing rows;
 * relationships (child -> parent) first reduce the child keys to distinct
   values, then run a ``left_anti`` join, so a hot child key costs one row.
 
@@ -20,17 +20,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
-
-REPORT_SCHEMA = T.StructType([
-    T.StructField("table_name", T.StringType()),
-    T.StructField("check_name", T.StringType()),
-    T.StructField("column_name", T.StringType()),
-    T.StructField("failures", T.LongType()),
-    T.StructField("severity", T.StringType()),
-])
 
 ROW_CHECKS = ("not_null", "accepted_values", "accepted_range")
+OWN_CHECKS = (*ROW_CHECKS, "unique", "unique_combination")
 
 
 @dataclass(frozen=True)
@@ -52,29 +44,45 @@ class Check:
         return self.name or self.kind
 
 
-def _row_failure(chk: Check):
+def _row_fails(chk: Check):
+    """Whether a row fails a row-level check; NULL passes all but not_null."""
     c = F.col(chk.columns[0])
     if chk.kind == "not_null":
-        return F.count_if(c.isNull())
+        return c.isNull()
     if chk.kind == "accepted_values":
-        # NULL passes, as in the standard test definition
-        return F.count_if(c.isNotNull() & ~c.isin(*chk.values))
-    if chk.kind == "accepted_range":
-        bad = F.lit(False)
-        if chk.min_value is not None:
-            bad = bad | (c < F.lit(chk.min_value))
-        if chk.max_value is not None:
-            bad = bad | (c > F.lit(chk.max_value))
-        return F.count_if(c.isNotNull() & bad)
-    raise ValueError(chk.kind)
-
-
-def _one_row(spark, chk: Check, failures: DataFrame) -> DataFrame:
-    return failures.select(F.lit(chk.table).alias("table_name"),
-                           F.lit(chk.label).alias("check_name"),
-                           F.lit(",".join(chk.columns)).alias("column_name"),
-                           F.col("failures").cast("bigint").alias("failures"),
-                           F.lit(chk.severity).alias("severity"))
+        return c.isNotNull() & ~c.isin(*chk.values)
+    limits = [c < F.lit(chk.min_value)] * (chk.min_value is not None) \
+        + [c > F.lit(chk.max_value)] * (chk.max_value is not None)
+    return F.coalesce(F.array_contains(F.array(F.lit(False), *limits), True), F.lit(False))
+
+
+def _own_failures(df: DataFrame, checks: Sequence[tuple[int, Check]]) -> DataFrame:
+    """(number, failures) of a table's own checks, in one pass; checks without any
+    entry are left out."""
+    entries = []
+    for number, chk in checks:
+        if chk.kind in ROW_CHECKS:
+            key, there = F.lit(None).cast("array<string>"), _row_fails(chk)
+        else:
+            key = F.array(*[F.col(c).cast("string") for c in chk.columns])
+            there = F.lit(True) if chk.kind == "unique_combination" else F.col(chk.columns[0]).isNotNull()
+        entries.append(F.when(there, F.struct(F.lit(number).alias("number"), key.alias("key"))))
+    keyed = F.col("number").isin([n for n, c in checks if c.kind not in ROW_CHECKS])
+    return df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull()))) \
+        .groupBy("number", "key").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("number").agg(F.sum(F.when(~keyed, F.col("n")).when(F.col("n") > 1, 1).otherwise(0)).alias("failures"))
+
+
+def _orphans(tables: Mapping[str, DataFrame], chk: Check) -> DataFrame:
+    """Rows whose key the parent lacks; child keys are counted before the join, so a hot
+    key is one row."""
+    child = F.col(chk.columns[0])
+    parent = tables[chk.parent].select(F.col(chk.parent_column).alias("__k")) \
+                               .filter(F.col("__k").isNotNull()).distinct()
+    keys = (tables[chk.table].filter(child.isNotNull()).groupBy(child.alias("__k"))
+                             .agg(F.count(F.lit(1)).alias("__rows")))
+    return keys.join(parent, "__k", "left_anti") \
+        .agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("failures"))
 
 
 def quality_report(spark: SparkSession, tables: Mapping[str, DataFrame],
@@ -82,48 +90,29 @@ def quality_report(spark: SparkSession, tables: Mapping[str, DataFrame],
     """Evaluate ``checks`` over ``tables``; one row per check with status."""
     if not checks:
         raise ValueError("no checks given")
+    own: dict[str, list[tuple[int, Check]]] = {}
     parts: list[DataFrame] = []
-    by_table: dict[str, list[Check]] = {}
-    for chk in checks:
+    for number, chk in enumerate(checks):
         if chk.table not in tables:
             raise KeyError(f"check on unknown table {chk.table!r}")
-        if chk.kind in ROW_CHECKS:
-            by_table.setdefault(chk.table, []).append(chk)
-    for tname, tchecks in by_table.items():
-        aggs = [_row_failure(c).cast("bigint").alias(f"f{i}") for i, c in enumerate(tchecks)]
-        one = tables[tname].agg(*aggs)
-        rows = F.array(*[
-            F.struct(F.lit(tname).alias("table_name"), F.lit(c.label).alias("check_name"),
-                     F.lit(",".join(c.columns)).alias("column_name"),
-                     F.col(f"f{i}").alias("failures"), F.lit(c.severity).alias("severity"))
-            for i, c in enumerate(tchecks)])
-        parts.append(one.select(F.inline(rows)))
-    for chk in checks:
-        if chk.kind in ROW_CHECKS:
-            continue
-        df = tables[chk.table]
-        if chk.kind in ("unique", "unique_combination"):
-            cols = list(chk.columns)
-            keyed = df.select(*cols)
-            if chk.kind == "unique":
-                keyed = keyed.filter(F.col(cols[0]).isNotNull())
-            dup = keyed.groupBy(*cols).count().filter(F.col("count") > 1)
-            parts.append(_one_row(spark, chk, dup.agg(F.count(F.lit(1)).alias("failures"))))
+        if chk.kind in OWN_CHECKS:
+            own.setdefault(chk.table, []).append((number, chk))
         elif chk.kind == "relationships":
-            child_col = chk.columns[0]
-            parent = tables[chk.parent].select(F.col(chk.parent_column).alias("__k")) \
-                                       .filter(F.col("__k").isNotNull()).distinct()
-            keys = (df.filter(F.col(child_col).isNotNull())
-                      .groupBy(F.col(child_col).alias("__k"))
-                      .agg(F.count(F.lit(1)).alias("__rows")))
-            orphan = keys.join(parent, "__k", "left_anti")
-            parts.append(_one_row(spark, chk,
-                                  orphan.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("failures"))))
+            parts.append(_orphans(tables, chk).select(F.lit(number).alias("number"), "failures"))
         else:
             raise ValueError(f"unknown check kind {chk.kind!r}")
-    out = parts[0]
+    parts += [_own_failures(tables[name], some) for name, some in own.items()]
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        found = found.unionByName(p)
+    listed = spark.createDataFrame([(n, c.table, c.label, ",".join(c.columns), c.severity)
+                                    for n, c in enumerate(checks)],
+                                   "number int, table_name string, check_name string, column_name string, "
+                                   "severity string")
+    # one row a check on both sides
+    out = listed.join(found, "number", "left").select(
+        "table_name", "check_name", "column_name",
+        F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"), "severity")
     return out.withColumn(
         "status", F.when(F.col("failures") == 0, F.lit("pass")).otherwise(F.col("severity")))
 
@@ -157,11 +146,17 @@ def freshness_report(tables: Mapping[str, DataFrame], rules: Sequence[Freshness]
     ``as_of`` is a fixed date or time so a report repeats; one ``max`` aggregate
     per feed; ``age_days`` are whole elapsed days.
     """
+    newest = [tables[r.feed].agg(F.max(F.col(r.ts_column).cast("timestamp")).alias("newest")) for r in rules]
+    return freshness_of(newest, rules, as_of)
+
+
+def freshness_of(newest: Sequence[DataFrame], rules: Sequence[Freshness], as_of: str) -> DataFrame:
+    """Status rows of feeds whose newest time is known, a one-row frame with ``newest``
+    each, e.g. from a feed's ledger (``ledger.staged_span``) instead of its rows."""
     parts = []
-    for r in rules:
-        newest = tables[r.feed].agg(F.max(F.col(r.ts_column).cast("timestamp")).alias("newest"))
+    for one, r in zip(newest, rules, strict=True):
         age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("newest")) / F.lit(86_400_000_000)
-        parts.append(newest.select(
+        parts.append(one.select(
             F.lit(r.feed).alias("feed"), F.to_date("newest").alias("newest_date"),
             F.floor(age).cast("int").alias("age_days"),
             F.when(F.col("newest").isNull() | (age > r.error_days), F.lit("error"))

@@ -18,18 +18,18 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int,
              cutoff_key: str | None = None, descending: bool = True) -> DataFrame:
     """Global top-N rows (TOP1, TOP2); ``order`` should be total.
 
-    For large ``n`` give ``cutoff_key``: the leading sort column, when it
-    has a bounded number of distinct values (a date, a year).  Its value
-    histogram (one row per distinct value) picks the exact cutoff that keeps
-    at least ``n`` rows, so the final merge sees about ``n`` rows rather
-    than ``n`` from every input split.  Rows with a NULL key sort last and
+    For large ``n`` give ``cutoff_key``: the leading sort column, best one with few
+    distinct values (a date, a year).  The counts of its first values pick the exact
+    cutoff that keeps at least ``n`` rows, so the final merge sees about ``n`` rows
+    rather than ``n`` from every input split.  The first ``n`` values hold at least
+    ``n`` rows, so no more counts reach the driver, whatever the key.  Rows with a NULL key sort last and
     are only needed when fewer than ``n`` others exist.
     """
     if cutoff_key is None:
         return df.orderBy(*order).limit(n)
+    first = F.desc(cutoff_key) if descending else F.asc(cutoff_key)
     hist = (df.filter(F.col(cutoff_key).isNotNull())
-              .groupBy(cutoff_key).count().collect())          # bounded by distinct keys
-    hist.sort(key=lambda r: r[0], reverse=descending)
+              .groupBy(cutoff_key).count().orderBy(first).limit(n).collect())
     total, cut = 0, None
     for r in hist:
         total += r["count"]

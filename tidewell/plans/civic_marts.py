@@ -401,12 +401,11 @@ def mart_trees_planted_by_year(s: Frames, as_of: str = "2026-01-01") -> DataFram
 
 
 def mart_trees_summary(s: Frames) -> DataFrame:
-    return A.summary_row(s["trees"], {
-        "total_trees": F.count(F.lit(1)),
-        "distinct_species": F.count_distinct("scientific_name"),
-        "distinct_genera": F.count_distinct("genus"),
-        "heritage_trees": A.count_true("is_heritage"),
-        "exceptional_trees": A.count_true("is_exceptional")})
+    one = A.distinct_row(s["trees"], {"distinct_species": "scientific_name", "distinct_genera": "genus"},
+                         {"total_trees": F.lit(1), **{n: F.coalesce(F.col(c).cast("int"), F.lit(0)) for n, c in (
+                             ("heritage_trees", "is_heritage"), ("exceptional_trees", "is_exceptional"))}})
+    return one.select(F.coalesce("total_trees", F.lit(0)).alias("total_trees"), "distinct_species",
+                      "distinct_genera", "heritage_trees", "exceptional_trees")
 
 
 # ------------------------------------------------------------------ weather

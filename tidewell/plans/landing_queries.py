@@ -17,11 +17,14 @@ from tidewell.functions.geo import centroid
 from tidewell.functions.numeric import exact_sum, fixed
 from tidewell.operators import aggregates as A
 from tidewell.operators import versions as V
+from tidewell.operators.bucketed import bucketed_orphans, write_bucketed
+from tidewell.operators.quality import Freshness, freshness_of
 from tidewell.operators.refresh import read_table, refresh_months
 from tidewell.session import shared_dir
 from tidewell.sources import landing as L
+from tidewell.sources.footers import table_ranges
 from tidewell.sources.ledger import STAGE_MONTH, read_staged, stage_new, staged_span
-from tidewell.sources.tables import load
+from tidewell.sources.tables import load, table_path
 
 FILE_ROWS = 20_000           # about the rows of one landed file
 
@@ -91,11 +94,27 @@ def ledger_refresh(spark, sf_dir) -> DataFrame:
         F.col("order_month").isin(list(second.months)).alias("rebuilt"))
 
 
-def ledger_span(spark, sf_dir) -> DataFrame:
-    """Rows, first and last time of the staged feed, from the ledger alone."""
+LEDGER_RULE, LEDGER_AS_OF = Freshness("orders", "o_orderdate", 30, 90), "1998-10-01"
+
+
+def ledger_freshness(spark, sf_dir) -> DataFrame:
+    """Rows, first and newest day of the staged feed and its freshness, answered from the
+    ledger: neither landed files nor staged rows are read."""
     store, _, _, _ = _two_loads(spark, sf_dir)
-    return staged_span(spark, store).select(F.col("rows").cast("bigint").alias("row_count"),
-                                            "first", "last")
+    span = staged_span(spark, store)
+    fresh = freshness_of([span.select(F.col("last").alias("newest"))], [LEDGER_RULE], LEDGER_AS_OF)
+    return fresh.select("*", span.select("rows").scalar().alias("row_count"),
+                        F.to_date(span.select("first").scalar()).alias("first_date"))
+
+
+# ---------------------------------------------------------------- AGG15, BLD1
+FOOTER_COLUMNS = {"orders": ["o_orderkey", "o_custkey", "o_totalprice"], "lineitem": ["l_orderkey", "l_quantity"],
+                  "part": ["p_partkey", "p_size"], "events": ["event_id", "user_id"]}
+
+
+def footer_ranges(spark, sf_dir) -> DataFrame:
+    """Row counts and key ranges of four tables from their Parquet footers."""
+    return table_ranges(spark, {n: (table_path(sf_dir, n), cols) for n, cols in FOOTER_COLUMNS.items()})
 
 
 # ---------------------------------------------------------------- SRC1
@@ -253,8 +272,25 @@ def named_build(spark, sf_dir) -> DataFrame:
         .withColumn("refused_first", F.lit(nothing_yet))
 
 
+# ---------------------------------------------------------------- JON5, DQ5
+def orphans_bucketed(spark, sf_dir) -> DataFrame:
+    """Lineitem order keys without an order placed before 2000, on tables stored in
+    buckets of the key: no side is shuffled and none is broadcast."""
+    base = shared_dir(spark, "bucketed", fresh=True)
+    name = f"tidewell_{base.rsplit('/', 1)[1]}"
+    orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    buckets = max(8, -(-lines.count() // 1_000_000))
+    parent = write_bucketed(
+        orders.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+        .select(F.col("o_orderkey").alias("l_orderkey")), f"{name}_orders", f"{base}/orders", "l_orderkey", buckets)
+    child = write_bucketed(lines.select("l_orderkey", "l_linenumber"), f"{name}_lines", f"{base}/lines",
+                           "l_orderkey", buckets, one_file=False)
+    return bucketed_orphans(child, parent, "l_orderkey").withColumnRenamed("n", "line_count")
+
+
 LANDING_QUERIES = {f.__name__: f for f in (
-    ledger_refresh, ledger_span, page_gap, series_files, comment_csv, feature_load, replaced_table, named_build)}
+    ledger_refresh, ledger_freshness, footer_ranges, page_gap, series_files, comment_csv, feature_load, replaced_table, named_build,
+    orphans_bucketed)}
 
 LANDING_SQL = {
     "ledger_refresh": """
@@ -262,8 +298,17 @@ select cast(date_trunc('month', o_orderdate) as date) as order_month, count(*) a
        round(sum(cast(o_totalprice as decimal(18,2))), 2)::double as total_price,
        year(o_orderdate) >= (select max(year(o_orderdate)) - 1 from orders) as rebuilt
 from orders group by all""",
-    "ledger_span": """
-select count(*) as row_count, min(o_orderdate) as first, max(o_orderdate) as last from orders""",
+    "ledger_freshness": """
+select 'orders' as feed, cast(max(o_orderdate) as date) as newest_date,
+       cast(date '1998-10-01' - cast(max(o_orderdate) as date) as integer) as age_days,
+       case when date '1998-10-01' - cast(max(o_orderdate) as date) > 90 then 'error'
+            when date '1998-10-01' - cast(max(o_orderdate) as date) > 30 then 'warn' else 'pass' end as status,
+       count(*) as row_count, cast(min(o_orderdate) as date) as first_date
+from orders""",
+    "footer_ranges": "\nunion all\n".join(
+        f"select '{t}' as table_name, '{c}' as column_name, (select count(*) from {t}) as row_count, "
+        f"cast(min({c}) as varchar) as least, cast(max({c}) as varchar) as largest from {t}"
+        for t, cols in FOOTER_COLUMNS.items() for c in cols),
     "page_gap": """
 select 'complete' as download, 'loaded' as outcome, count(*) as order_count,
        cast(sum(o_orderkey) as bigint) as key_sum from orders
@@ -289,6 +334,10 @@ from p""",
 select 'after a refused load' as state, o_orderpriority, count(*) as order_count from orders group by all
 union all
 select 'after a replacement', o_orderpriority, count(*) from orders where o_orderkey % 2 = 0 group by all""",
+    "orphans_bucketed": """
+select l_orderkey, count(*) as line_count
+from lineitem left join (select * from orders where o_orderdate < timestamp '2000-01-01') on o_orderkey = l_orderkey
+where o_orderkey is null and l_orderkey is not null group by l_orderkey""",
     "named_build": """
 select 'nation' as table_name, count(*) as row_count, 'refused' as unknown_name, true as refused_first from nation
 union all select 'supplier', count(*), 'refused', true from supplier""",

@@ -129,6 +129,14 @@ select count(*) as total_lines, count(distinct l_partkey) as distinct_parts,
        cast(sum(case when l_linestatus = 'F' then 1 else 0 end) as bigint) as finished_lines
 from lineitem"""
 
+SQL["distincts_by_group"] = """
+select l_linestatus, count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts,
+       count(distinct cast(l_shipdate as date)) as ship_days, count(distinct l_returnflag) as flags,
+       count(distinct l_discount) as discounts,
+       count(distinct l_partkey) filter (where l_returnflag = 'R') as returned_parts,
+       count(*) as line_count
+from lineitem group by 1"""
+
 SQL["pct_guarded"] = f"""
 select o_orderpriority, count(*) as order_count,
        {FIX("cast(count(*) filter (where o_orderstatus in ('F', 'O')) as double) * 100.0 / nullif(cast(count(*) as double), 0.0)", 2)}
@@ -534,13 +542,12 @@ select * from (
 
 def _audit_sql() -> str:
     from tidewell.plans.registry import STATEMENT_TEMPLATES
-    from tidewell.operators.audit import FORBIDDEN_ANYWHERE, FORBIDDEN_LEADING
+    from tidewell.operators.audit import FORBIDDEN_ANYWHERE
 
     def q(s):
         return "'" + s.replace("'", "''") + "'"
     vals = ",\n        ".join(f"({i}, {q(e)}, {q(t)})" for i, (e, t) in enumerate(STATEMENT_TEMPLATES))
-    anywhere = "[" + ", ".join(q(w) for w in FORBIDDEN_ANYWHERE) + "]"
-    leading = "(" + ", ".join(q(w) for w in FORBIDDEN_LEADING) + ")"
+    words = "[" + ", ".join(q(w) for w in FORBIDDEN_ANYWHERE) + "]"
     return f"""
 with t(template_id, expected, template) as (
     values {vals}
@@ -549,27 +556,22 @@ with t(template_id, expected, template) as (
            replace(template, '{{k}}', cast(o_orderkey as varchar)) as sql
     from orders join t on t.template_id = cast(o_orderkey % {len(STATEMENT_TEMPLATES)} as integer)
 ), c as (
-    select *, regexp_replace(regexp_replace(regexp_replace(sql, '--[^\\n]*', ' ', 'g'),
-                                  '(?s)/\\*.*?\\*/', ' ', 'g'), '\\A\\s+|\\s+\\z', '', 'g') as cleaned
+    select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                  sql, '--[^\\n]*|(?s:/\\*.*?\\*/)', ' ', 'g'),
+                  '\\A\\s+|\\s+\\z', '', 'g'), ';\\z', ''), '\\A\\s+|\\s+\\z', '', 'g') as body
     from s
-), b as (
-    select *, case when ends_with(cleaned, ';') then left(cleaned, length(cleaned) - 1)
-                   else cleaned end as body
-    from c
-), l as (
-    select *, lower(regexp_replace(body, '\\A\\s+', '')) as lowered from b
 ), j as (
-    select *, coalesce(length(cleaned) > 0
-              and not contains(body, ';')
-              and (starts_with(lowered, 'select') or starts_with(lowered, 'with'))
-              and regexp_extract(lowered, '^([a-z_]+)', 1) not in {leading}
-              and not coalesce(list_has_any(regexp_extract_all(lowered, '\\b([a-z_]+)\\b', 1),
-                                            {anywhere}), false), false) as is_read_only
-    from l
+    select *, list_sort(list_intersect(regexp_extract_all(lower(body), '\\b([a-z_]+)\\b', 1), {words})) as bad
+    from c
+), r as (
+    select *, case when body = '' then 'empty' when contains(body, ';') then 'several statements'
+                   when not regexp_matches(body, '(?i)\\A(select|with)') then 'not a query'
+                   when len(bad) > 0 then 'forbidden: ' || array_to_string(bad, ', ') end as refused_for
+    from j
 )
-select o_orderkey, template_id, expected, is_read_only,
-       case when is_read_only then regexp_replace(body, '\\s+\\z', '') end as cleaned_sql
-from j"""
+select o_orderkey, template_id, expected, refused_for, refused_for is null as is_read_only,
+       case when refused_for is null then body end as cleaned_sql
+from r"""
 
 
 SQL["statement_audit"] = _audit_sql()
