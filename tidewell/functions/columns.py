@@ -117,8 +117,8 @@ _ISO_DATE = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}"
 
 
 def _dashed(c: Column) -> Column:
-    """'2024/01/02...' -> '2024-01-02...'."""
-    return F.regexp_replace(c, r"^(\s*\d{4})/(\d{1,2})/", "$1-$2-")
+    """'2024/01/02...' -> '2024-01-02...'; text without a slash is not searched."""
+    return F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, r"^(\s*\d{4})/(\d{1,2})/", "$1-$2-")).otherwise(c)
 
 
 def text_to_timestamp(c: ColumnOrName) -> Column:

@@ -94,12 +94,14 @@ def row_text(cols) -> Column:
                                         for c in cols])
 
 
-def _hash_bucket(h: Column) -> tuple[Column, Column]:
-    """(leading zero hex digits, first non-zero digit) of a hex digest: the
-    digest order is (zeros desc, digit asc, rest asc)."""
-    zeros = F.length(F.regexp_extract(h, r"^0*", 0))
-    digit = F.coalesce(F.conv(F.substring(h, zeros + 1, 1), 16, 10).cast("int"), F.lit(0))
-    return zeros, digit
+MERGE_TASKS = 64
+_ROW_BITS = 33          # monotonically_increasing_id counts a partition's rows in its low bits
+
+
+def _first_of_partition(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    """The first ``n`` rows of every partition."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return df.sortWithinPartitions(*order).withColumn("__place", place).where(F.col("__place") < n).drop("__place")
 
 
 def hash_sample(df: DataFrame, n: int, key: str | None, seed: str = "42") -> DataFrame:
@@ -110,30 +112,13 @@ def hash_sample(df: DataFrame, n: int, key: str | None, seed: str = "42") -> Dat
     should be unique; with ``key=None`` the whole row is hashed, so only
     identical rows can tie (and any of them is the same row).
 
-    Two passes keep it exact and bounded at any size: a histogram of the
-    digest's leading hex digits (at most 13 x 16 buckets reach the driver)
-    picks the smallest digest prefix that still holds at least ``n`` rows;
-    only rows under that prefix (about ``n`` to ``16 n``, since digests are
-    uniform) go into the final ``TakeOrderedAndProject``, instead of ``n``
-    rows from every input split.
+    One pass, each row hashed once: every partition keeps its first ``n`` rows by digest
+    (a local sort, which spills), ``MERGE_TASKS`` tasks keep the first ``n`` of those
+    they get, and the last step merges at most ``MERGE_TASKS * n`` rows, however
+    many partitions there are.
     """
     base = F.col(key).cast("string") if key else row_text(df.columns)
     hashed = df.withColumn("__h", F.md5(F.concat(base, F.lit(seed))))
-    zeros, digit = _hash_bucket(F.col("__h"))
-    hist = (hashed.groupBy(zeros.alias("z"), digit.alias("d")).count()
-                  .collect())                                   # <= 208 rows
-    buckets = sorted(((r["z"], r["d"], r["count"]) for r in hist), key=lambda t: (-t[0], t[1]))
-    total, cut = 0, None
-    for z, d, c in buckets:
-        total += c
-        cut = (z, d)
-        if total >= n:
-            break
     order = [F.asc("__h")] + ([F.asc(key)] if key else [])
-    if cut is None:                                             # empty input
-        return hashed.limit(0).drop("__h")
-    z, d = cut
-    # the same cut as a text bound, so that the filter names the digest once
-    bound = "0" * z + format(d + 1, "x") if d < 15 else "0" * (z - 1) + "1" if z else None
-    cand = hashed.filter(F.col("__h") < bound) if bound else hashed
-    return cand.orderBy(*order).limit(n).drop("__h")
+    merged = _first_of_partition(hashed, n, order).repartition(MERGE_TASKS, "__h")
+    return _first_of_partition(merged, n, order).orderBy(*order).limit(n).drop("__h")

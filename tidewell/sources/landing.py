@@ -183,14 +183,18 @@ def _or_raise(value: Column, ok: Column, message: str, of: Column) -> Column:
         F.raise_error(F.concat(F.lit(f"{message}: "), F.coalesce(of, F.lit("?")))))
 
 
+def first_points(doc: Column) -> Column:
+    """The points of a series document: first series, first values block; NULL without."""
+    series = F.get(doc.getField("value").getField("timeSeries"), 0)
+    return F.get(series.getField("values"), 0).getField("value")
+
+
 def flatten_time_series(doc: DataFrame, col: str = "doc", keep: Sequence[str] = (),
                         name: Column | None = None) -> DataFrame:
     """(dateTime, value) points of the first series' first values block of
     a parsed daily-series document (SRC7).  With ``name`` (the document's name), a
     document without a series or a values block raises; without it, it has no rows."""
-    first_series = F.get(F.col(f"{col}.value.timeSeries"), 0)
-    first_block = F.get(first_series.getField("values"), 0)
-    points = first_block.getField("value")
+    points = first_points(F.col(col))
     if name is not None:
         points = _or_raise(points, points.isNotNull(), "no series in", name)
     pts = doc.select(*keep, F.explode(points).alias("p"))

@@ -47,15 +47,16 @@ def start_month_refresh(spark: SparkSession, landing_dir: str, schema, stage: St
                   .withColumn("batch_id", F.lit(batch_id)))
         # (month, batch) partitions: a retried batch overwrites only its own
         # folders, and a month's history is found by partition pruning
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (staged.hint("rebalance", "stage_month")
+               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy("stage_month", "batch_id").parquet(staging_path))
-        touched = [r[0] for r in staged.filter(F.col("stage_month").isNotNull())
+        # the batch is read back, not parsed a second time; its months are folder names
+        stored = spark.read.parquet(staging_path)
+        touched = [r[0] for r in stored.filter((F.col("batch_id") == batch_id) & F.col("stage_month").isNotNull())
                                        .select("stage_month").distinct().collect()]
         if not touched:
             return
-        history = (spark.read.parquet(staging_path)
-                        .filter(F.col("stage_month").isin(touched))
-                        .drop("stage_month", "batch_id"))
+        history = stored.filter(F.col("stage_month").isin(touched)).drop("stage_month", "batch_id")
         (rollup(history).hint("rebalance", month_col).write.mode("overwrite")
                         .option("partitionOverwriteMode", "dynamic")
                         .partitionBy(month_col).parquet(table_path))
