@@ -191,6 +191,8 @@ class Model:
 def fit(langs, docs, features) -> Model:
     """Model from {lang: documents} and rows (lang, feature, n)."""
     names = sorted(langs)
+    if not names:
+        return Model([], np.empty(0), np.empty((KINDS, BUCKETS, 0)), np.empty((256, 0)))
     n = np.zeros((KINDS, BUCKETS, len(names)))
     scripts = np.zeros((256, len(names)))
     at = {name: i for i, name in enumerate(names)}
@@ -207,9 +209,9 @@ def fit(langs, docs, features) -> Model:
     far[(far < 0).all(axis=1)] = 0.0
     unknown = ~(scripts > 0).any(axis=1)
     size = np.array([langs[x] for x in names], float)
-    model = Model(names, np.log(size / size.sum()).astype(np.float32) if names else size,
+    model = Model(names, np.log(size / size.sum()).astype(np.float32),
                   logs.astype(np.float32), far.astype(np.float32))
-    model.tables[:, :, :] -= model.tables.max(axis=2, keepdims=True) if names else 0
+    model.tables[:, :, :] -= model.tables.max(axis=2, keepdims=True)
     model.scripts[unknown] = 0.0
     return model
 

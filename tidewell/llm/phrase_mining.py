@@ -50,6 +50,7 @@ CHUNK = 1 << 21                # bytes of text worked on at once
 HELD = 600_000                 # entries a task holds before it sends its stripes
 HOT_PART, HOT_SHARDS, WORD_SHARDS = 1000, 64, 4096
 LEAST_BITS, MOST_BITS, BITS_PER_PHRASE = 16, 28, 16
+RANK_SALTS = 64
 SALTS = {0: 32, 1: 16, 2: 4}   # copies of short phrases in the lookup join, which many candidates ask for
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -330,8 +331,14 @@ def collocations(levels: list[DataFrame], longest: int = LONGEST, top: int | Non
             F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in cuts]), lambda x: x.isNotNull()))
     scored = one.withColumn("best", best).select(
         "lang", "phrase", "a", "best.l", "best.r", "n", "best.score", "best.cut")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    if top is not None:
+        # each of RANK_SALTS parts of a lang keeps its first rows, so that the task that ranks
+        # the lang gets RANK_SALTS * top rows at most
+        scored = scored.withColumn("part", F.pmod(F.xxhash64("phrase", F.lit(5)), F.lit(RANK_SALTS)).cast("int"))
+        place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+        scored = scored.withColumn("place", place).where(F.col("place") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("cut").cast("bigint").alias("cut"))
