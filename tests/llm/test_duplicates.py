@@ -148,8 +148,9 @@ def near_rows():
 def test_components_match_all_pairs(make, monkeypatch):
     rows = near_rows()
     want = brute_components(rows)
-    for small in (D.SMALL, 4):                 # the second drives the rounds of centres
-        monkeypatch.setattr(D, "SMALL", small)
+    for block, pairs in ((D.BLOCK, D.PAIRS_A_TASK), (3, 2)):     # the second makes many blocks and dealt hubs
+        monkeypatch.setattr(D, "BLOCK", block)
+        monkeypatch.setattr(D, "PAIRS_A_TASK", pairs)
         got = {r["doc_id"]: r for r in D.near_duplicates(make(rows)).collect()}
         for i, (doc, text, _) in enumerate(rows):
             assert got[doc]["component_id"] == min(rows[j][0] for j in range(len(rows)) if want[j] == want[i]), doc

@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, let, text_or_empty
+from tidewell.llm.common import documents, let, store, text_or_empty
 from tidewell.sources.tables import load
 
 # Fixed masks by the words' offsets (1: the word counts, 0: it is ignored):
@@ -163,8 +163,10 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Documents in which no benchmark item is found, columns unchanged."""
     key = [F.col("doc_id"), F.xxhash64("text").alias("_tw_key")]
-    bad = _hits(docs, bench, key).select(F.col("doc_id").alias("_tw_bad"),
-                                         F.col("_tw_key").alias("_tw_badkey")).distinct()
+    # stored, so that its size is known when the join is planned: a small one is broadcast
+    # and the texts are not shuffled
+    bad = store(_hits(docs, bench, key).select(F.col("doc_id").alias("_tw_bad"),
+                                               F.col("_tw_key").alias("_tw_badkey")).distinct(), "leaks")
     d = docs.withColumn("_tw_key", F.xxhash64("text"))
     return d.join(bad, (F.col("doc_id").eqNullSafe(F.col("_tw_bad")))
                   & (F.col("_tw_key") == F.col("_tw_badkey")), "left_anti") \

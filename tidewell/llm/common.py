@@ -67,17 +67,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
 
+# Spark then deletes a query's shuffle files when the query has ended
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: lineage is cut and a
-    lost executor costs a reread, not a recompute."""
-    path = shared_dir(df.sparkSession, "llm", name, fresh=True)
-    df.write.mode("overwrite").parquet(f"{path}/t")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
+    lost executor costs a reread, not a recompute.  The shuffle files of the write
+    are deleted when it has ended, as nothing needs them any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark, 'llm', name, fresh=True)}/t"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # planned anew under the setting
+        df.select("*").write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose results are stored;
-    it does so, shortly after, once the objects that refer to them are collected."""
+    """Let Spark's cleaner drop broadcasts and shuffles that nothing refers to any more;
+    it does so shortly after the objects that stand for them are collected."""
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import store
+from tidewell.llm.common import discard, store
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -36,7 +36,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = store(small, "small_star")
+        old, edges = edges, store(small, "small_star")
+        discard(old)
+        discard(large)
         now = _stamp(edges)
         if now == stamp:
             break

@@ -9,14 +9,21 @@ similarity, and pairs whose estimate is not clearly too low are confirmed
 on the full shingle sets.  A pair at similarity 0.75 shares no band with
 probability (1 - 0.75^5)^48, about 2 in a million.
 
-Documents with equal shingle sets form one node first.  Candidates of a band
-bucket are never paired with each other wholesale.  Buckets of up to
-``SMALL`` nodes are compared in full; in larger ones every node is compared with a
-few centres (one at first, then 8, 16, ...).  As 1 - Jaccard is a metric, only
-nodes at distance (0.25, 0.5] from a centre can be linked to a node that the
-centre is linked with, and only to one at least their distance less 0.25 away.
-Those pairs are compared too; what no centre is linked with forms the bucket of
-the next round.  The components are the same as from all pairs of a bucket.
+Documents with equal shingle sets form one node first.  Members of a band bucket
+are never paired with each other wholesale:
+
+1. Every bucket is a star.  Its hub is the member that meets most others over all
+   buckets (a text and its near copies share the text's bands), so the hubs are few
+   and each node has one or two.  Hub and member are estimated, then confirmed.
+2. The links found so far make components.  What remains are nodes of one hub that
+   lie in different components, mostly near copies just below the threshold.  A
+   hub's nodes outside its largest component are compared with all its nodes, in
+   blocks of ``BLOCK`` nodes a side: a task sees two blocks of registers and sends only
+   pairs whose estimate is not too low.  These are confirmed too.
+
+Any two members of a bucket have a hub in common, so both steps together judge every
+pair of a bucket or know that links connect it already: the components are the same
+as from all pairs.  An end of many pairs is dealt over several tasks.
 
 Defined results: null or empty texts and texts without words have an empty set and
 link with nothing; texts of one to four words have one shingle; rows that share
@@ -27,14 +34,13 @@ results; other columns are ignored (``keep_one`` passes them through).
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, lower_ascii, release, store, text_or_empty, with_windows, words
+from tidewell.llm.common import (discard, documents, lower_ascii, store, text_or_empty, with_windows,
+                                 words)
 from tidewell.llm.components import components
 
 SHINGLE = 5
@@ -42,10 +48,11 @@ LINK_PERCENT = 75
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
-SMALL = 24
-#: Estimates below these are not confirmed: seven standard errors of 240
-#: registers below similarity 0.75, and below 0.5 (the reach of a bucket's centre).
-MIN_ESTIMATE, MIN_REACH = 0.55, 0.3
+#: Estimates below this are not confirmed: 4.6 standard errors of 240 registers below
+#: similarity 0.75, missed with the same probability as a shared band.
+MIN_ESTIMATE = 0.62
+BLOCK = 512                  # nodes of a hub compared at a time with as many others
+PAIRS_A_TASK = 4096          # pairs of one end before they are dealt over more tasks
 SLICE = 1 << 21              # shingles sketched at a time in a task
 
 _RNG = np.random.default_rng(20)
@@ -160,108 +167,137 @@ def estimate(ra, rb, na, nb) -> np.ndarray:
     return ((ra == rb).mean(1) - chance) / (1 - chance)
 
 
-def _likely(least: float):
-    """Keep pairs (bucket, a, b, ra, rb, na, nb) whose estimate is at least ``least``."""
-    def run(batches):
-        for t in batches:
-            r = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                 for c in ("ra", "rb")]
-            j = estimate(*r, *(t.column(c).to_numpy() for c in ("na", "nb")))
-            yield t.select(["bucket", "a", "b"]).filter(pa.array(j >= least))
-    return run
+def _registers_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _likely(batches):
+    """Keep pairs (u, v, nu, ru, nv, rv) whose estimate is high enough."""
+    for t in batches:
+        j = estimate(_registers_of(t.column("ru")), _registers_of(t.column("rv")),
+                     t.column("nu").to_numpy(), t.column("nv").to_numpy())
+        yield t.select(["u", "v"]).filter(pa.array(j >= MIN_ESTIMATE))
+
+
+def _across(batches):
+    """Likely pairs of different components of two blocks ``f`` and ``x`` of nodes."""
+    for t in batches:
+        for one, other in zip(t.column("f"), t.column("x")):
+            f, x = one.values, other.values
+            (fn, fc, fs, fr), (xn, xc, xs, xr) = (
+                [y.field(c) for c in ("node", "comp", "n", "regs")] for y in (f, x))
+            fr, xr, fs, xs = _registers_of(fr), _registers_of(xr), fs.to_numpy(), xs.to_numpy()
+            fc, xc = (np.array(c.to_pylist()) for c in (fc, xc))
+            at, to = [], []
+            for i in range(len(fs)):
+                # an estimate is never above the share of equal registers
+                near = (xc != fc[i]) & (np.minimum(xs, fs[i]) * 100 >= np.maximum(xs, fs[i]) * LINK_PERCENT)
+                k = np.flatnonzero(near)
+                k = k[(xr[k] == fr[i]).mean(axis=1) >= MIN_ESTIMATE]
+                at.append(np.full(len(k), i))
+                to.append(k)
+            at, to = np.concatenate(at), np.concatenate(to)
+            if len(at):
+                good = estimate(fr[at], xr[to], fs[at], xs[to]) >= MIN_ESTIMATE
+                yield pa.RecordBatch.from_arrays([fn.take(pa.array(at[good])), xn.take(pa.array(to[good]))],
+                                                 names=["u", "v"])
 
 
 # ----------------------------------------------------------------- candidates
 
-def _pairs(left: DataFrame, right: DataFrame, on, least: float) -> DataFrame:
-    """Pairs of two sides (node, n, regs) of the same bucket that may be similar:
-    (bucket, a, b), a of the left side."""
-    a = left.select(*on, F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    b = right.select(*on, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    # sets of sizes too far apart are out of reach
-    near = F.least("na", "nb") * 2 >= F.greatest("na", "nb")
-    return a.join(b, on).where((F.col("a") != F.col("b")) & near) \
-        .select("bucket", "a", "b", "ra", "rb", "na", "nb") \
-        .mapInArrow(_likely(least), "bucket long, a string, b string")
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, d) of distinct unordered pairs: the exact Jaccard distance and
-    whether they are linked, from the full shingle sets."""
-    p = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    both = F.size(F.array_intersect("su", "sv"))
-    d = p.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u") \
-        .join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v") \
-        .select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("t"))
-    union = F.col("t") - F.col("i")
-    return d.select("u", "v", (1 - F.col("i") / union).alias("d"),
-                    (F.col("i") * 100 >= union * LINK_PERCENT).alias("linked"))
-
-
-def links(sk: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) links between nodes that connect every group of near duplicates."""
-    spark = sk.sparkSession
+def _both(pairs: DataFrame, of: DataFrame, *values: str) -> DataFrame:
+    """Pairs (u, v) with ``values`` of both ends (named value + u, v).  The pairs of an
+    end v that has very many are dealt over several tasks, each with its values."""
+    parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("parts"))
+    dealt = pairs.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
+    one = of.select(F.col("node").alias("u"), *[F.col(c).alias(f"{c}u") for c in values])
+    other = of.join(parts, F.col("node") == F.col("v")).select(
+        "v", *[F.col(c).alias(f"{c}v") for c in values],
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(one, "u").join(other, ["v", "part"]).drop("part")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) that are linked, from the full shingle sets."""
+    t = shingled(_both(pairs, texts, "text").withColumnRenamed("textu", "text")) \
+        .withColumnRenamed("s", "su").drop("text").withColumnRenamed("textv", "text")
+    t = shingled(t)
+    both = F.size(F.array_intersect("su", "s"))
+    return t.select("u", "v", both.alias("i"), (F.size("su") + F.size("s")).alias("t")) \
+        .where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * LINK_PERCENT).select("u", "v")
+
+
+def _hubs(nodes: DataFrame) -> DataFrame:
+    """(node, hub) of every member of a bucket, the hub itself left out."""
     # the short id only spares bytes: two nodes that shared one would meet in more buckets
-    nodes = store(sk.where("n > 0").groupBy("node").agg(
-        F.min("k").alias("k"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-        .withColumn("id", F.xxhash64("node")), "nodes")
-    release(spark)
     each = nodes.select("id", "regs").mapInArrow(_banded, "bucket long, id long")
     # buckets with the same members propose the same pairs: one of them is enough
     buckets = store(each.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.bit_xor("id").alias("mix"))
         .where("size > 1").groupBy("size", "low", "mix").agg(F.min("bucket").alias("bucket")), "buckets")
-    release(spark)
-    proposed = store(each.join(buckets.select("bucket", "size"), "bucket"), "proposed")
-    release(spark)
-    members = store(proposed.join(nodes.select("id", "node", "n", "regs"), "id").drop("id"), "members")
-    used = members.select("node").distinct().join(nodes.select("node", "k"), "node")
-    texts = row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    sets = store(shingled(texts.join(used, "k").dropDuplicates(["node"]).select("node", "text"))
-                 .select("node", "s"), "sets")
-    release(spark)
-    found = []
-
-    def whole(part):
-        """All pairs of buckets of bounded size."""
-        left = _pairs(part, part, ["bucket"], MIN_ESTIMATE).where("a < b")
-        found.append(store(_confirm(left, sets).where("linked").select("u", "v"), "links"))
-
-    whole(members.where(F.col("size") <= SMALL))
-    rest, centres = members.where(F.col("size") > SMALL), 1
-    while not rest.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        centre = rest.withColumn("r", rank).where(F.col("r") <= centres).drop("r")
-        star = store(_pairs(centre, rest, ["bucket"], MIN_REACH), "star")
-        known = store(_confirm(star, sets), "known")
-        found.append(known.where("linked").select("u", "v"))
-        placed = star.withColumn("u", F.greatest("a", "b")).withColumn("v", F.least("a", "b")) \
-            .join(known, ["u", "v"]).select("bucket", F.col("a").alias("c"), F.col("b").alias("node"),
-                                            "d", "linked")
-        placed = store(placed.join(rest.select("bucket", "node", "n", "regs"), ["bucket", "node"])
-                       .where("d <= 0.5"), "placed")
-        near = placed.where("linked")
-        fringe = placed.where("not linked")
-        edge = fringe.groupBy("bucket", "c").agg(F.min("d").alias("least"))
-        far_side = near.join(edge, ["bucket", "c"]).where("d >= least - 0.2500001")
-        across = _pairs(far_side, fringe, ["bucket", "c"], MIN_ESTIMATE)
-        found.append(store(_confirm(across, sets).where("linked").select("u", "v"), "links"))
-        done = near.select("bucket", "node").unionByName(centre.select("bucket", "node")).distinct()
-        rest = rest.drop("size").join(done, ["bucket", "node"], "left_anti")
-        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rest = store(rest.join(sizes, "bucket"), "rest")
-        whole(rest.where(F.col("size") <= SMALL))
-        release(spark)
-        rest, centres = rest.where(F.col("size") > SMALL), max(8, centres * 2)
-    return reduce(DataFrame.unionByName, found)
+    members = store(each.join(buckets.select("bucket", "size"), "bucket")
+                    .join(nodes.select("id", "node"), "id").select("bucket", "size", "node"), "members")
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = members.join(weights, "node").groupBy("bucket").agg(
+        F.max(F.struct("weight", "node")).alias("head")).select("bucket", F.col("head.node").alias("hub"))
+    out = store(members.join(heads, "bucket").where("node <> hub").select("node", "hub").distinct(), "hubs")
+    discard(buckets)
+    discard(members)
+    return out
+
+
+def _left_over(star: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Likely pairs (u, v) of one hub's nodes that lie in different components."""
+    placed = star.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("comp"))
+    sizes = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"))
+    hubs = sizes.groupBy("hub").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"),
+                                    F.max(F.struct("n", "comp")).alias("main")) \
+        .where("comps > 1").select("hub", F.col("main.comp").alias("main"),
+                                   F.ceil(F.col("size") / BLOCK).alias("xs"),
+                                   F.ceil((F.col("size") - F.col("main.n")) / BLOCK).alias("fs"))
+    rows = store(placed.join(hubs, "hub").join(nodes.select("node", "n", "regs"), "node"), "left_over")
+
+    def blocks(part, name, number):
+        return part.groupBy("hub", "xs", F.pmod(F.xxhash64("node"), F.col(number)).alias("at")) \
+            .agg(F.collect_list(F.struct("node", "comp", "n", "regs")).alias(name))
+    x = blocks(rows, "x", "xs").select("hub", F.col("at").alias("j"), "x")
+    f = blocks(rows.where("comp <> main"), "f", "fs").select(
+        "hub", "f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("xs") - 1)).alias("j"))
+    found = f.join(x, ["hub", "j"]).select("f", "x").mapInArrow(_across, "u string, v string")
+    pairs = store(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "across")
+    discard(rows)
+    return pairs
+
+
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v) links between nodes that connect every group of near duplicates."""
+    star = _hubs(nodes)
+    pairs = star.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    keys = star.select("node").union(star.select(F.col("hub").alias("node"))).distinct() \
+        .join(nodes.select("node", "k"), "node")
+    texts = store(row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+                  .join(keys, "k").dropDuplicates(["k"]).select("node", "text"), "texts")
+    likely = store(_both(pairs, nodes, "n", "regs").withColumnsRenamed(
+        {"nu": "nu", "regsu": "ru", "nv": "nv", "regsv": "rv"}).select("u", "v", "nu", "ru", "nv", "rv")
+        .mapInArrow(_likely, "u string, v string"), "likely")
+    first = store(_confirm(likely, texts), "links")
+    more = _left_over(star, nodes, components(first))
+    second = store(_confirm(more, texts), "links")
+    discard(texts)
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: k, doc_id, n, node, component_id and keeper
     (the one key of the component that stays)."""
-    sk = store(sketches(docs), "sketches")
-    release(docs.sparkSession)
-    roots = components(links(sk, docs))
+    fat = store(sketches(docs), "sketches")
+    nodes = store(fat.where("n > 0").groupBy("node").agg(
+        F.min("k").alias("k"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        .withColumn("id", F.xxhash64("node")), "nodes")
+    sk = store(fat.select("k", "doc_id", "n", "node"), "rows")
+    discard(fat)
+    roots = components(links(nodes, docs))
+    discard(nodes)
     own = sk.where("n > 0").select("node", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")
                                    .alias("who")).groupBy("node").agg(F.min("who").alias("who"))
     named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
