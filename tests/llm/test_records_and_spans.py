@@ -127,3 +127,16 @@ def test_candidates_cover_every_match(make, odd, none):
         assert [S.RULES[g[1]].kind for g in got if g[1] > 2] == (["github"] if x.startswith("ghp") else [])
     assert S.scan(odd).count() == odd.count() and S.scan(none).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_texts_of_very_many_matches(spark, make):
+    from tidewell.llm import pii_spans, secret_scan
+    n = 3000
+    text = " ".join(f"é u{i}@mail{i}.example.com, 10.0.{i % 256}.7 {i:016x}ff" for i in range(n))
+    row = pii_spans.find(make([(1, text, "a"), (2, "x", "a")])).where("doc_id = 1").first()
+    got = {(s["start"], s["end"]) for s in row["_tw_base"]}
+    mails = {m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)}
+    ips = {m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)}
+    assert len(mails) == len(ips) == n and mails | ips <= got
+    spans = secret_scan.scan(make([(1, text, "a")])).first()["_tw_spans"]
+    assert {m.span() for m in re.finditer("[0-9a-f]{16,}", text)} <= {(s["start"], s["end"]) for s in spans}

@@ -28,8 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, store, text_or_empty
-from tidewell.llm.spans import joined, matches
+from tidewell.llm.common import documents, let, store, text_or_empty
+from tidewell.llm.spans import CHUNK, joined, matches
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "name")
 N_BASE = 4
@@ -243,10 +243,23 @@ def find(docs: DataFrame) -> DataFrame:
 
     def plain(spans):
         return F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    def grouped(spans):
+        """Spans by start, in groups with their first start and last end."""
+        def group(part):
+            return F.struct(part[0]["start"].alias("start"), F.array_max(F.transform(part, lambda y: y["end"]))
+                            .alias("end"), part.alias("spans"))
+        cuts = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int"))
+        return F.transform(F.when(F.size(spans) > 0, cuts).otherwise(F.array().cast("array<int>")),
+                           lambda k: let(F.slice(spans, k * CHUNK + 1, F.lit(CHUNK)), group))
+
+    def meets(x, y):
+        return (y["start"] < x["end"]) & (x["start"] < y["end"])
     base = F.filter("c", lambda x: x["base"])
-    d = c.select("doc_id", "c", base.alias("b"))
+    d = c.select("doc_id", "c", base.alias("b")).select("doc_id", "c", "b", let(
+        F.array_sort("b"), grouped).alias("g"))
+    # a text of very many spans is looked through group by group, not span by span
     free = F.filter("c", lambda x: ~x["base"] & accept(x) & ~F.exists(
-        "b", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+        "g", lambda g: meets(x, g) & F.exists(g["spans"], lambda y: meets(x, y))))
     return d.select("doc_id", plain(F.col("b")).alias("_tw_base"),
                     F.concat(plain(F.col("b")), plain(free)).alias("_tw_all"))
 

@@ -5,7 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import let
+
 EMPTY = "array<struct<start:bigint,end:bigint,text:string,group:string,before:string>>"
+CHUNK = 256                  # values summed one by one at a time
+
+
+def _sums_before(values: Column, first: Column) -> Column:
+    """``first`` plus the sum of the values in front of each value of a short array."""
+    start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(
+        (acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def sums_before(values: Column) -> Column:
+    """The sum of the values in front of each value, in two steps: by chunks, then in
+    each.  An array that grows by one value a step is copied each time, so only short
+    ones grow; a million values cost about a second.  ``values`` must be bound (a
+    variable of a function), as it is looked at more than once."""
+    zero = F.lit(0).cast("bigint")
+
+    def run(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda x, y: x + y))
+        return let(_sums_before(totals, zero), lambda before: F.flatten(F.transform(
+            chunks, lambda c, k: _sums_before(c, F.get(before, k)))))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")),
+                       lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(values) > 0, let(cuts, run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def matches(text: Column, pattern: str, group: int = 0, guard: Column | None = None) -> Column:
@@ -17,23 +43,20 @@ def matches(text: Column, pattern: str, group: int = 0, guard: Column | None = N
     ``guard`` skips texts that cannot match.
     """
     p = F.lit(pattern)
-    gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    named = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    rows = F.arrays_zip(gaps.alias("gap"), found.alias("text"), named.alias("group"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(EMPTY).alias("out"))
-
-    def step(acc, r):
-        begin = acc["at"] + F.length(r["gap"])
-        end = begin + F.length(r["text"])
-        span = F.struct(begin.alias("start"), end.alias("end"), r["text"].alias("text"),
-                        r["group"].alias("group"),
-                        F.right(r["gap"], F.lit(30)).alias("before"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(
-            r["text"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
-    out = F.aggregate(rows, start, step, lambda a: a["out"])
+    named = F.regexp_extract_all(text, p, F.lit(group)) if group else F.array().cast("array<string>")
+    parts = F.struct(F.split(text, pattern, -1).alias("gap"), found.alias("text"), named.alias("group"))
+
+    def spans(v):
+        sizes = F.transform(v["text"], lambda t, i: (F.length(F.get(v["gap"], i)) + F.length(t)).cast("bigint"))
+        # the piece in front of a match starts where the match before it ended
+        return let(sizes, lambda s: let(sums_before(s), lambda at: F.transform(v["text"], lambda t, i: F.struct(
+            (F.get(at, i) + F.length(F.get(v["gap"], i))).alias("start"),
+            (F.get(at, i) + F.get(s, i)).alias("end"), t.alias("text"),
+            (F.get(v["group"], i) if group else t).alias("group"),
+            F.right(F.get(v["gap"], i), F.lit(30)).alias("before")))))
     seen = text.rlike(pattern) if guard is None else guard
-    return F.when(seen, out).otherwise(F.array().cast(EMPTY))
+    return F.when(seen, let(parts, spans).cast(EMPTY)).otherwise(F.array().cast(EMPTY))
 
 
 def joined(spans: Column, kinds) -> Column:
