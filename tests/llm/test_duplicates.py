@@ -242,3 +242,13 @@ def test_pipeline_stages(spark, sf_small, none):
             n, docs = out.count(), out
         assert stage(spark, none.select(*docs.columns), sf_small).count() == 0
     assert out.count() == n and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_seeds_carry_no_words_of_their_items(spark, make):
+    rnd = random.Random(6)
+    items = [prose(rnd, 2000, 50000) for _ in range(10)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    seeds = B.item_seeds(B.benchmark_items(bench))
+    assert seeds.count() > 50_000 and sum({"bigint": 8, "int": 4}[t] for _, t in seeds.dtypes) <= 24
+    docs = make([(i, " ".join(prose(rnd, 20) + w[700:760] + prose(rnd, 20)), "a") for i, w in enumerate(items)])
+    assert {(r["doc_id"], r["item_id"]) for r in B.leaks(docs, bench).collect()} == {(i, i) for i in range(10)}

@@ -20,9 +20,12 @@ item of three or more words of which ``MIN_MATCH`` per cent agree.  Items of two
 words are matched whole; a single word is no evidence of a leak and is not searched for.
 
 The document side never shuffles its texts: positions are exploded, probed
-against a broadcast block of benchmark seeds and verified in one stage.  A block
-holds at most ``BLOCK_SEEDS`` seeds; a larger benchmark is taken in as many
-blocks as it needs, one pass over the documents each.
+against a broadcast block of benchmark seeds and verified in one stage.  A seed is
+a mask, a hash, an item's number and a position, some 30 bytes; the items' words are
+broadcast once an item, beside them, and meet only the hits.  A block holds the seeds
+of whole items, about ``BLOCK_SEEDS``, so it takes some 20 MB whatever the items'
+lengths; a larger benchmark is taken in as many blocks as it needs, one pass over
+the documents each.
 
 Defined results: null or empty texts and items match nothing; equal items
 are compared once and each is reported; rows that agree in doc_id and text
@@ -79,10 +82,11 @@ def _seeded(d: DataFrame, masks, words: str) -> DataFrame:
 
 
 def benchmark_items(bench: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct items: (_tw_item smallest item_id, _tw_items all ids, _tw_iw word hashes)."""
+    """Distinct items: (_tw_no a number, _tw_items all ids, _tw_iw word hashes).  Two items
+    that shared a number would both be laid over their hits, which compares words."""
     d = bench.select(F.col("item_id").alias("_tw_id"), norm_words(text_or_empty(text)).alias("_tw_iw"))
     return d.where(F.size("_tw_iw") > 0).groupBy("_tw_iw").agg(
-        F.array_sort(F.collect_set("_tw_id")).alias("_tw_items"))
+        F.array_sort(F.collect_set("_tw_id")).alias("_tw_items")).withColumn("_tw_no", F.xxhash64("_tw_iw"))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
     parts = [(n >= LIGHT_BELOW, LIGHT_BELOW), ((n > 2) & (n < LIGHT_BELOW), 3), (n == LEAST_WORDS, LEAST_WORDS)]
     return reduce(DataFrame.unionByName, [
         _seeded(items.where(which), masks_of(least), "_tw_iw") for which, least in parts]) \
-        .withColumnRenamed("_tw_pos", "_tw_ipos")
+        .select("_tw_no", F.col("_tw_pos").alias("_tw_ipos"), "_tw_mask", "_tw_hash")
 
 
 def _verified(hits: DataFrame) -> DataFrame:
@@ -131,7 +135,8 @@ def _verified(hits: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, bench: DataFrame, cols) -> DataFrame:
-    seeds = item_seeds(benchmark_items(bench))
+    items = store(benchmark_items(bench), "items")
+    seeds = store(item_seeds(items), "seeds")
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     masks = [r._tw_mask for r in seeds.select("_tw_mask").distinct().collect()]
     if not masks:
@@ -141,8 +146,9 @@ def _hits(docs: DataFrame, bench: DataFrame, cols) -> DataFrame:
     d = _seeded(d, sorted(masks), "_tw_h")
 
     def block(b):
-        part = seeds.where(F.pmod(F.col("_tw_hash"), F.lit(blocks)) == b) if blocks > 1 else seeds
-        return _verified(d.join(F.broadcast(part), ["_tw_mask", "_tw_hash"]))
+        mine = F.pmod(F.col("_tw_no"), F.lit(blocks)) == b
+        return _verified(d.join(F.broadcast(seeds.where(mine)), ["_tw_mask", "_tw_hash"])
+                         .join(F.broadcast(items.where(mine)), "_tw_no"))
     return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)])
 
 
