@@ -222,9 +222,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     t = shingled(_both(pairs, texts, "text").withColumnRenamed("textu", "text")) \
         .withColumnRenamed("s", "su").drop("text").withColumnRenamed("textv", "text")
     t = shingled(t)
-    both = F.size(F.array_intersect("su", "s"))
-    return t.select("u", "v", both.alias("i"), (F.size("su") + F.size("s")).alias("t")) \
-        .where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * LINK_PERCENT).select("u", "v")
+    # the test sits in a generator: as a filter it would move below the shingles and make
+    # them again for each mention
+    pair = F.array(F.struct(F.size(F.array_intersect("su", "s")).alias("both"),
+                            (F.size("su") + F.size("s")).alias("sum")))
+    linked = F.filter(pair, lambda x: x["both"] * 100 >= (x["sum"] - x["both"]) * LINK_PERCENT)
+    return t.select("u", "v", F.explode(linked)).select("u", "v")
 
 
 def _hubs(nodes: DataFrame) -> DataFrame:
@@ -269,8 +272,8 @@ def _left_over(star: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     return pairs
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) links between nodes that connect every group of near duplicates."""
+def groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of every node that is linked with another; root names its group."""
     star = _hubs(nodes)
     pairs = star.select(F.col("node").alias("u"), F.col("hub").alias("v"))
     keys = star.select("node").union(star.select(F.col("hub").alias("node"))).distinct() \
@@ -281,10 +284,10 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         {"nu": "nu", "regsu": "ru", "nv": "nv", "regsv": "rv"}).select("u", "v", "nu", "ru", "nv", "rv")
         .mapInArrow(_likely, "u string, v string"), "likely")
     first = store(_confirm(likely, texts), "links")
-    more = _left_over(star, nodes, components(first))
-    second = store(_confirm(more, texts), "links")
+    roots = components(first)
+    second = store(_confirm(_left_over(star, nodes, roots), texts), "links")
     discard(texts)
-    return first.unionByName(second)
+    return roots if second.isEmpty() else components(first.unionByName(second))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -296,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("id", F.xxhash64("node")), "nodes")
     sk = store(fat.select("k", "doc_id", "n", "node"), "rows")
     discard(fat)
-    roots = components(links(nodes, docs))
+    roots = store(groups(nodes, docs), "groups")
     discard(nodes)
     own = sk.where("n > 0").select("node", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")
                                    .alias("who")).groupBy("node").agg(F.min("who").alias("who"))
