@@ -17,9 +17,9 @@ are never paired with each other wholesale:
    and each node has one or two.  Hub and member are estimated, then confirmed.
 2. The links found so far make components.  What remains are nodes of one hub that
    lie in different components, mostly near copies just below the threshold.  A
-   hub's nodes outside its largest component are compared with all its nodes, in
-   blocks of ``BLOCK`` nodes a side: a task sees two blocks of registers and sends only
-   pairs whose estimate is not too low.  These are confirmed too.
+   hub's nodes outside its largest component are compared with all its nodes, block by
+   block: a task sees two blocks of registers and shingle sets, estimates their pairs
+   and confirms on the sets those that are not clearly too low, and sends the links only.
 
 Any two members of a bucket have a hub in common, so both steps together judge every
 pair of a bucket or know that links connect it already: the components are the same
@@ -51,7 +51,8 @@ MANTISSA_BITS = 10
 #: Estimates below this are not confirmed: 4.6 standard errors of 240 registers below
 #: similarity 0.75, missed with the same probability as a shared band.
 MIN_ESTIMATE = 0.62
-BLOCK = 512                  # nodes of a hub compared at a time with as many others
+BLOCK = 512                  # nodes of a hub compared at a time with as many others,
+BLOCK_SHINGLES = 1 << 18     # fewer if they are long
 PAIRS_A_TASK = 4096          # pairs of one end before they are dealt over more tasks
 SLICE = 1 << 21              # shingles sketched at a time in a task
 
@@ -179,27 +180,40 @@ def _likely(batches):
         yield t.select(["u", "v"]).filter(pa.array(j >= MIN_ESTIMATE))
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(b, a).clip(max=len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def _across(batches):
-    """Likely pairs of different components of two blocks ``f`` and ``x`` of nodes."""
+    """Links between nodes of different components in two blocks ``f`` and ``x``."""
     for t in batches:
         for one, other in zip(t.column("f"), t.column("x")):
-            f, x = one.values, other.values
-            (fn, fc, fs, fr), (xn, xc, xs, xr) = (
-                [y.field(c) for c in ("node", "comp", "n", "regs")] for y in (f, x))
-            fr, xr, fs, xs = _registers_of(fr), _registers_of(xr), fs.to_numpy(), xs.to_numpy()
-            fc, xc = (np.array(c.to_pylist()) for c in (fc, xc))
+            names, comps, sizes, regs, sets = [], [], [], [], []
+            for y in (one.values, other.values):
+                names.append(y.field("node"))
+                comps.append(np.array(y.field("comp").to_pylist()))
+                sizes.append(y.field("n").to_numpy())
+                regs.append(_registers_of(y.field("regs")))
+                ends, flat = y.field("s").offsets.to_numpy(), y.field("s").values.to_numpy()
+                sets.append([flat[i:j] for i, j in zip(ends, ends[1:])])
+            (fc, xc), (fs, xs), (fr, xr) = comps, sizes, regs
             at, to = [], []
             for i in range(len(fs)):
                 # an estimate is never above the share of equal registers
                 near = (xc != fc[i]) & (np.minimum(xs, fs[i]) * 100 >= np.maximum(xs, fs[i]) * LINK_PERCENT)
                 k = np.flatnonzero(near)
                 k = k[(xr[k] == fr[i]).mean(axis=1) >= MIN_ESTIMATE]
-                at.append(np.full(len(k), i))
-                to.append(k)
-            at, to = np.concatenate(at), np.concatenate(to)
-            if len(at):
-                good = estimate(fr[at], xr[to], fs[at], xs[to]) >= MIN_ESTIMATE
-                yield pa.RecordBatch.from_arrays([fn.take(pa.array(at[good])), xn.take(pa.array(to[good]))],
+                if len(k):
+                    k = k[estimate(fr[[i] * len(k)], xr[k], fs[[i] * len(k)], xs[k]) >= MIN_ESTIMATE]
+                for j in k.tolist():
+                    both = _common(sets[0][i], sets[1][j])
+                    if both * 100 >= (fs[i] + xs[j] - both) * LINK_PERCENT:
+                        at.append(i)
+                        to.append(j)
+            if at:
+                yield pa.RecordBatch.from_arrays([names[0].take(pa.array(at)), names[1].take(pa.array(to))],
                                                  names=["u", "v"])
 
 
@@ -249,27 +263,34 @@ def _hubs(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _left_over(star: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Likely pairs (u, v) of one hub's nodes that lie in different components."""
-    placed = star.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("comp"))
-    sizes = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"))
-    hubs = sizes.groupBy("hub").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"),
-                                    F.max(F.struct("n", "comp")).alias("main")) \
-        .where("comps > 1").select("hub", F.col("main.comp").alias("main"),
-                                   F.ceil(F.col("size") / BLOCK).alias("xs"),
-                                   F.ceil((F.col("size") - F.col("main.n")) / BLOCK).alias("fs"))
-    rows = store(placed.join(hubs, "hub").join(nodes.select("node", "n", "regs"), "node"), "left_over")
+def _left_over(star: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between one hub's nodes that lie in different components."""
+    placed = star.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("comp")) \
+        .join(nodes.select("node", "n", "regs"), "node")
+    sizes = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+
+    def blocks_of(nodes, shingles):
+        return F.ceil(nodes / BLOCK + shingles / BLOCK_SHINGLES)
+    hubs = sizes.groupBy("hub").agg(
+        F.count(F.lit(1)).alias("comps"), F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"),
+        F.max(F.struct("nodes", "comp", "shingles")).alias("main")).where("comps > 1").select(
+        "hub", F.col("main.comp").alias("main"), blocks_of(F.col("nodes"), F.col("shingles")).alias("xs"),
+        blocks_of(F.col("nodes") - F.col("main.nodes"), F.col("shingles") - F.col("main.shingles")).alias("fs"))
+    some = store(placed.join(hubs, "hub"), "left_over")
+    sets = shingled(texts.join(some.select("node").distinct(), "node")).select("node", F.array_sort("s").alias("s"))
+    rows = store(some.join(sets, "node"), "left_over_sets")
 
     def blocks(part, name, number):
         return part.groupBy("hub", "xs", F.pmod(F.xxhash64("node"), F.col(number)).alias("at")) \
-            .agg(F.collect_list(F.struct("node", "comp", "n", "regs")).alias(name))
+            .agg(F.collect_list(F.struct("node", "comp", "n", "regs", "s")).alias(name))
     x = blocks(rows, "x", "xs").select("hub", F.col("at").alias("j"), "x")
     f = blocks(rows.where("comp <> main"), "f", "fs").select(
         "hub", "f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("xs") - 1)).alias("j"))
-    found = f.join(x, ["hub", "j"]).select("f", "x").mapInArrow(_across, "u string, v string")
-    pairs = store(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "across")
+    found = store(f.join(x, ["hub", "j"]).select("f", "x").mapInArrow(_across, "u string, v string")
+                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "across")
+    discard(some)
     discard(rows)
-    return pairs
+    return found
 
 
 def groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -285,7 +306,7 @@ def groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         .mapInArrow(_likely, "u string, v string"), "likely")
     first = store(_confirm(likely, texts), "links")
     roots = components(first)
-    second = store(_confirm(_left_over(star, nodes, roots), texts), "links")
+    second = _left_over(star, nodes, roots, texts)
     discard(texts)
     return roots if second.isEmpty() else components(first.unionByName(second))
 
