@@ -13,7 +13,7 @@ from tidewell.operators import aggregates as A
 from tidewell.operators import versions as V
 from tidewell.operators.refresh import read_table, refresh_months
 from tidewell.plans import civic_marts as M
-from tidewell.plans.civic_build import build_from_landing
+from tidewell.plans.civic_build import build_from_landing, stage_feed
 from tidewell.sources import landing as L
 from tidewell.sources.ledger import (STAGE_MONTH, Load, committed, read_ledger, read_staged, stage_new,
                                      staged_span)
@@ -293,6 +293,14 @@ def test_incremental_warehouse_parses_new_files_only(spark, tmp_path):
     assert set(build_from_landing(spark, str(landing), out, tables, incremental=True)) == set(tables[:2])
     assert months() == {"2024-01": 2, "2024-02": 2, "2024-04": 1} and crimes() == 5
     assert build_from_landing(spark, str(landing), out, tables, incremental=True) == []
+    # a build that died after staging is made up for: only then are its months refreshed
+    crime("c.csv", ["2024-02-20", "2024-05-01"])
+    assert stage_feed(spark, str(landing), "crime", out, incremental=True).files == 1
+    crime("d.csv", ["2024-06-01"])
+    assert set(build_from_landing(spark, str(landing), out, tables, incremental=True)) == set(tables[:2])
+    assert months() == {"2024-01": 2, "2024-02": 3, "2024-04": 1, "2024-05": 1, "2024-06": 1} and crimes() == 8
+    for name in "cd":
+        os.remove(landing / "crime" / f"{name}.csv")
     # a full build reads what is landed now
     build_from_landing(spark, str(landing), out, tables)
     assert months() == {"2024-01": 1, "2024-04": 1} and crimes() == 2

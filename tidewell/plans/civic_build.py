@@ -202,14 +202,16 @@ def build_from_landing(spark: SparkSession, landing: str, out_dir: str,
     """Stage the feeds and build the marts; returns the marts written.
 
     With ``incremental``, files in the ledger are not opened again, month-keyed marts
-    rebuild only the months that the new files touched, marts of feeds without
-    new files stay as they are, and the others are rebuilt from staging.
+    rebuild only the months that new files touched, marts of feeds without new files
+    stay as they are, and the others are rebuilt from staging.  Each mart remembers the
+    batches that it was built from, so a build that died after staging is made up for.
     """
     feeds = feeds_for(tables)                       # validates every name first
-    loads = {f: stage_feed(spark, landing, f, out_dir, incremental, (page_rows or {}).get(f)) for f in feeds}
+    for f in feeds:
+        stage_feed(spark, landing, f, out_dir, incremental, (page_rows or {}).get(f))
     marts = [t for t in tables if t in M.MARTS or t in M.DERIVED] if tables else None
     frames = {f: M.read_staging(spark, out_dir, f, own_columns=True) for f in feeds}
-    return M.build_marts(spark, frames, out_dir, marts or None, built_at, loads if incremental else None)
+    return M.build_marts(spark, frames, out_dir, marts or None, built_at, "new" if incremental else "all")
 
 
 def main(argv: Sequence[str] | None = None) -> None:

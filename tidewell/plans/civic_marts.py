@@ -25,7 +25,7 @@ from tidewell.operators.refresh import full_build, read_table, refresh, refresh_
 from tidewell.operators.topk import Extreme, extremes, hash_sample, top_rows
 from tidewell.operators.windows import top_per_group
 from tidewell.plans.civic_staging import GROUPED_STAGING, STAGING
-from tidewell.sources.ledger import STAGE_MONTH, Load, read_staged
+from tidewell.sources.ledger import STAGE_MONTH, committed, months_since, read_staged
 
 Frames = Mapping[str, DataFrame]
 
@@ -657,7 +657,7 @@ def build_warehouse(spark: SparkSession, raw: Frames, out_dir: str,
             df = df.withColumn(STAGE_MONTH, A.month_start(month_keyed[feed]))
         V.replace_table(df, f"{out_dir}/staging/{feed}", [STAGE_MONTH] if feed in month_keyed else ())
         staged[feed] = read_staging(spark, out_dir, feed, own_columns=True)
-    return build_marts(spark, staged, out_dir, names, built_at, "window" if incremental else None)
+    return build_marts(spark, staged, out_dir, names, built_at, "window" if incremental else "all")
 
 
 def _asked_and_inputs(names: Sequence[str] | None) -> list[str]:
@@ -667,49 +667,88 @@ def _asked_and_inputs(names: Sequence[str] | None) -> list[str]:
                               + [x for n in asked if n in DERIVED for x in derived_inputs(n)]))
 
 
+def _positions(spark: SparkSession, out_dir: str, feeds) -> dict[str, tuple[int, int]]:
+    """(copy, last batch) of each feed's staging; 0 batches where no ledger is kept."""
+    out = {}
+    for feed in feeds:
+        table = f"{out_dir}/staging/{feed}"
+        number = V.current_number(spark, table)
+        out[feed] = (number, committed(spark, V.copy_path(table, number)))
+    return out
+
+
+def _built_from(spark: SparkSession, out_dir: str, name: str) -> dict[str, tuple[int, int]]:
+    """The staging positions that a mart was last built from, by feed."""
+    notes = [n.split(".") for n in V.names_in(spark, f"{out_dir}/built/{name}", folders=False)]
+    out: dict[str, tuple[int, int]] = {}
+    for feed, number, batch in (n for n in notes if len(n) == 3):
+        out[feed] = max(out.get(feed, (0, 0)), (int(number), int(batch)))
+    return out
+
+
 def build_marts(spark: SparkSession, staged: Frames, out_dir: str, names: Sequence[str] | None = None,
-                built_at: str = "1970-01-01 00:00:00",
-                changes: Mapping[str, Load] | str | None = None) -> list[str]:
+                built_at: str = "1970-01-01 00:00:00", what: str = "all") -> list[str]:
     """Write marts from staging frames; each replaces its old copy when it is whole.
 
-    ``changes`` is None for a full build, "window" to refresh the trailing months of
-    month-keyed marts, or the loads by feed: then these rebuild the months that were
-    touched, and a mart none of whose feeds has new files is left as it is.
+    ``what`` is "all" for a full build, "window" to refresh the trailing months of the
+    month-keyed marts, "new" to take over what was staged since each mart was built:
+    month-keyed marts rebuild the months touched since then, a mart whose feeds have
+    nothing new is left as it is, and the others are rebuilt.  A mart notes the staging
+    it was built from after it is written, so a build that died is made up for.
     ``mart_inspections`` is written before the three marts that read it.
     """
     asked = list(names or ())
     derived = [n for n in DERIVED if n in asked or not names]
     chosen = _asked_and_inputs(names) if names else None
-    loads = changes if isinstance(changes, Mapping) else None
     frames = {n: df.drop(STAGE_MONTH, "batch", "source_file") for n, df in staged.items()}
-    changed = {f for f in staged if loads is None or loads[f].files}
-    if "food_inspections" in changed:
-        V.replace_table(mart_inspections(frames), f"{out_dir}/marts/mart_inspections")
-        changed.add("mart_inspections")
+    now = _positions(spark, out_dir, staged)
+
+    def sources(n):
+        return {"food_inspections" if d == "mart_inspections" else d for d in MARTS[n][0]}
+
+    def noted(n):
+        at = _built_from(spark, out_dir, n)
+        return {f: at.get(f) for f in sources(n)}
+
+    def note(n):
+        for f in sources(n):
+            path = f"{out_dir}/built/{n}/{f}.{now[f][0]}.{now[f][1]}"
+            if path.rsplit("/", 1)[1] not in V.names_in(spark, f"{out_dir}/built/{n}", folders=False):
+                V.create_marker(spark, path)
+
+    def current(n):
+        return what == "new" and V.exists(spark, f"{out_dir}/marts/{n}") \
+            and noted(n) == {f: now[f] for f in sources(n)}
     if "food_inspections" in frames:
+        if not current("mart_inspections"):
+            V.replace_table(mart_inspections(frames), f"{out_dir}/marts/mart_inspections")
         frames["mart_inspections"] = V.read_table(spark, f"{out_dir}/marts/mart_inspections")
     lazy = marts_for(frames, chosen)
     missing = [n for n in chosen or () if n not in lazy]
     if missing:
         raise KeyError(f"marts whose feeds are not landed: {missing}")
-    built = set(list_folders(spark, f"{out_dir}/marts"))
     written = []
     for n, df in lazy.items():
         p = f"{out_dir}/marts/{n}"
-        if n in built and not changed & set(MARTS[n][0]):
+        if current(n):
             continue
         if n in INCREMENTAL:
             feed, ts, rollup, mcol = INCREMENTAL[n]
             rows = staged[feed].filter(F.col(ts).isNotNull())
-            if loads is not None and n in built:
-                refresh_months(spark, rows, loads[feed].months, rollup, p, mcol, STAGE_MONTH)
-            elif changes is not None and loads is None:
+            before = noted(n)[feed]
+            if what == "new" and before and before[0] == now[feed][0]:
+                store = V.current_path(spark, f"{out_dir}/staging/{feed}")
+                refresh_months(spark, rows, months_since(spark, store, before[1]), rollup, p, mcol, STAGE_MONTH)
+            elif what == "window":
                 refresh(spark, rows, ts, rollup, p, mcol, partition_col=STAGE_MONTH)
             else:
                 full_build(staged[feed], rollup, p, mcol)
         elif n != "mart_inspections":
             V.replace_table(df, p)
+        note(n)
         written.append(n)
+    if "food_inspections" in frames:
+        note("mart_inspections")
     marts = {n: read_mart(spark, out_dir, n, ordered=False) for n in lazy}
     for n in derived:
         lacking = [x for x in derived_inputs(n) if x not in marts]

@@ -128,17 +128,17 @@ def stage_new(spark: SparkSession, landing: str, store: str,
         .select("file", "path", "length", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), "first", "last",
                 F.coalesce("months", F.array().cast("array<date>")).alias("months")) \
         .coalesce(1).write.mode("overwrite").parquet(f"{store}/ledger/batch={batch}")
-    touched = ()
-    if ts_col:
-        # also the months that a replaced version of a file had
-        batch_files = spark.read.parquet(f"{store}/ledger/batch={batch}").select("file", "months")
-        if known is not None:
-            batch_files = batch_files.union(known.join(batch_files.select("file"), "file", "left_semi")
-                                            .select("file", "months"))
-        touched = tuple(sorted(r["m"] for r in batch_files.select(F.explode("months").alias("m"))
-                               .distinct().collect()))
     create_marker(spark, f"{store}/committed/{batch:0{DIGITS}d}")
-    return Load(batch, len(found), got["rows"], touched)
+    return Load(batch, len(found), got["rows"], months_since(spark, store, batch - 1) if ts_col else ())
+
+
+def months_since(spark: SparkSession, store: str, batch: int) -> tuple[date, ...]:
+    """Months whose rows changed in the batches after ``batch``: those of their files, and
+    those that earlier versions of these files had."""
+    ledger = read_ledger(spark, store)
+    files = ledger.where(F.col("batch") > batch).select("file").distinct()
+    rows = ledger.join(files, "file", "left_semi").select(F.explode("months").alias("m")).distinct()
+    return tuple(sorted(r["m"] for r in rows.collect()))
 
 
 def staged_span(spark: SparkSession, store: str) -> DataFrame:
