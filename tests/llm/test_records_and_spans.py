@@ -1,6 +1,7 @@
 """Operators 3, 6 and 7."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -24,6 +25,20 @@ def test_pieces_encode_like_whole_texts():
         assert ids[ends[i]:ends[i + 1]].tolist() == want.ids
 
 
+def test_plain_words_are_cut_without_the_pattern(monkeypatch):
+    enc = R.PieceEncoder(R.tokenizer_path())
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(" \n'.,!<|ab1éß×AsStT$%-_\t", k=rnd.randint(0, 30))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", "it's.\nWe've", "(x) a_b", "Ù.\nß!!", "ªb ºc"]
+    ids, ends = enc.encode(pa.array(texts))
+    for i, want in enumerate(enc.tok.encode_batch(texts, add_special_tokens=False)):
+        assert ids[ends[i]:ends[i + 1]].tolist() == want.ids
+    # a word, marks, and the same after a line feed: most pieces of a text, each cut by one match
+    monkeypatch.setattr(R, "CUT", None)
+    plain = "unseen words, and marks...\nNext größere Zeile\nÜber!! all"
+    assert enc.encode(pa.array([plain]))[0].tolist() == enc.tok.encode(plain, add_special_tokens=False).ids
+
+
 def test_records_round_trip(make, odd, none):
     docs = make([(i, t, "a") for i, t in enumerate(ODD)] + [(None, "null id", "a"), (3, "tie", "b")])
     got = sorted(R.token_records(docs).collect(), key=lambda r: r["start"])
