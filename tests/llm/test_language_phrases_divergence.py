@@ -181,6 +181,20 @@ def test_scores_past_64_bits(spark):
     assert r["score"] == 1000 * (big - 1) * 4 * big // (3 * big * (big + 7))
 
 
+def test_stripes_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(P, "SENT", 50, raising=False)
+    counter = Counter({f"p{i % 90}\x01 q w{i}".encode(): i + 1 for i in range(900)})
+    counter.update({f"p{i} q w{i}".encode(): 2 for i in range(90)})
+    batches = P._stripe_rows({"en": counter}, frozenset({("en", "p0 q")}))
+    got, sizes = Counter(), []
+    for b in batches:
+        rows = b.to_pylist()
+        sizes.append(sum(len(r["words"]) for r in rows))
+        for r in rows:
+            got.update({f"{r['prefix']} {w}".encode(): n for w, n in zip(r["words"], r["counts"], strict=True)})
+    assert got == counter and max(sizes) < 50 + 10 and len(sizes) > 10
+
+
 def test_long_text_is_cut_between_pieces():
     text = b"a b. " * 900_000
     parts = list(P._chunks([text, b"c d"]))

@@ -24,7 +24,7 @@ result is exact at every size.
 The stripe of a common prefix is split: prefixes with a thousandth of all words
 (there are at most a thousand) over ``HOT_SHARDS`` by next word, the empty prefix
 over ``WORD_SHARDS``.  Tasks hold at most about ``HELD`` entries before they send
-them, and work through long texts piece by piece.
+them, about ``SENT`` to a record batch, and work through long texts piece by piece.
 
 Defined results: null and empty texts have no words; a null lang is ``und``; repeated
 rows and rows with a null doc_id count like others; a table without words gives no
@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ from tidewell.llm.common import documents, store, text_or_empty
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 CHUNK = 1 << 21                # bytes of text worked on at once
-HELD = 600_000                 # entries a task holds before it sends its stripes
+HELD = 400_000                 # entries a task holds before it sends its stripes
+SENT = 1 << 16                 # entries sent at a time
 HOT_PART, HOT_SHARDS, WORD_SHARDS = 1000, 64, 4096
 LEAST_BITS, MOST_BITS, BITS_PER_PHRASE = 16, 28, 16
 RANK_SALTS = 64
@@ -156,31 +158,39 @@ def _extensions(norm: bytes, m: int, seed, bits) -> list[bytes]:
 STRIPES = "lang string, prefix string, shard int, words array<string>, counts array<long>"
 
 
+def _stripe_batch(rows):
+    """Record batch of (lang, prefix, shard, entries)."""
+    ends = pa.array(np.cumsum([0, *[len(r[3]) for r in rows]]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()),
+         pa.array([r[2] for r in rows], pa.int32()),
+         pa.ListArray.from_arrays(ends, pa.array([w for r in rows for w, _ in r[3]], pa.binary()).cast(pa.string())),
+         pa.ListArray.from_arrays(ends, pa.array([n for r in rows for _, n in r[3]], pa.int64()))],
+        names=["lang", "prefix", "shard", "words", "counts"])
+
+
 def _stripe_rows(counters, hot):
-    """One record batch of stripes of a task's counters."""
-    langs, prefixes, shards, sizes, words, counts = [], [], [], [], [], []
+    """Record batches of stripes of a task's counters, each of about SENT entries.  Sorted
+    phrases have those of a prefix side by side, so only the stripes of a batch are held."""
+    rows, size = [], 0
     for lang, counter in counters.items():
-        stripes = defaultdict(list)
         shared = {prefix.encode() for of, prefix in hot if of == lang}
-        for phrase, n in counter.items():
-            prefix, _, word = phrase.rpartition(b" ")
-            shard = 0 if prefix and prefix not in shared else \
-                zlib.crc32(word) % (HOT_SHARDS if prefix else WORD_SHARDS)
-            stripes[prefix, shard].append((word, n))
-        for (prefix, shard), entries in stripes.items():
-            langs.append(lang)
-            prefixes.append(prefix)
-            shards.append(shard)
-            sizes.append(len(entries))
-            words.extend(w for w, _ in entries)
-            counts.extend(n for _, n in entries)
-    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()).cast(pa.string()),
-         pa.array(shards, pa.int32()),
-         pa.ListArray.from_arrays(ends, pa.array(words, pa.binary()).cast(pa.string())),
-         pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))],
-        names=["lang", "prefix", "shard", "words", "counts"])
+        for prefix, phrases in groupby(sorted(counter), lambda phrase: phrase.rpartition(b" ")[0]):
+            start = len(prefix) + 1 if prefix else 0
+            entries = [(phrase[start:], counter[phrase]) for phrase in phrases]
+            shards = {0: entries}
+            if not prefix or prefix in shared:
+                shards = defaultdict(list)
+                for entry in entries:
+                    shards[zlib.crc32(entry[0]) % (HOT_SHARDS if prefix else WORD_SHARDS)].append(entry)
+            for shard, part in shards.items():
+                rows.append((lang, prefix, shard, part))
+                size += len(part)
+                if size >= SENT:
+                    yield _stripe_batch(rows)
+                    rows, size = [], 0
+    if rows:
+        yield _stripe_batch(rows)
 
 
 def stripes(texts: DataFrame, m: int, bits=None, hot=frozenset()) -> DataFrame:
@@ -201,12 +211,12 @@ def stripes(texts: DataFrame, m: int, bits=None, hot=frozenset()) -> DataFrame:
                             held[lang][b""] += len(found)
                     else:
                         found = _extensions(norm, m, _seed(lang), bits.value)
-                    held[lang].update(found)
-                    if sum(map(len, held.values())) > HELD:
-                        yield _stripe_rows(held, hot)
-                        held = defaultdict(Counter)
-        if held:
-            yield _stripe_rows(held, hot)
+                    for i in range(0, len(found), SENT):
+                        held[lang].update(found[i:i + SENT])
+                        if sum(map(len, held.values())) > HELD:
+                            yield from _stripe_rows(held, hot)
+                            held = defaultdict(Counter)
+        yield from _stripe_rows(held, hot)
     return texts.mapInArrow(run, STRIPES)
 
 
