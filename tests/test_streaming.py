@@ -49,6 +49,32 @@ def test_stream_counts_late_files(spark):
     assert run(spark, base) == [("2024-01-01", 2, 11), ("2024-02-01", 1, 2), ("2024-03-01", 1, 3)]
 
 
+def test_mergeable_batches_do_not_read_the_history(spark):
+    from tidewell.operators.versions import drop_folders, names_in
+    from tidewell.streaming.month_refresh import Mergeable
+    base = shared_dir(spark, "test_stream_state", fresh=True)
+    merged = Mergeable(rollup, {"n": F.sum("n"), "total": F.sum("total")}, lambda df: df)
+
+    def land(text):
+        rows = spark.createDataFrame([tuple(x.split(",")) for x in text.split()], SCHEMA)
+        rows.coalesce(1).write.mode("append").option("header", True).csv(f"{base}/landing")
+        q = start_month_refresh(spark, f"{base}/landing", SCHEMA, stage, "ts", merged, f"{base}/staging",
+                                f"{base}/table", "m", options={"header": True}, checkpoint=f"{base}/ckpt")
+        q.awaitTermination()
+        assert q.exception() is None
+        return sorted((str(r.m), r.n, r.total) for r in read_table(spark, f"{base}/table", "m").collect())
+
+    assert land("2024-01-03,1 2024-02-03,2 bad,9") == [("2024-01-01", 1, 1), ("2024-02-01", 1, 2)]
+    # rows of the batch before are not needed again
+    drop_folders(spark, [f"{base}/staging/batch_id=0"])
+    want = [("2024-01-01", 2, 11), ("2024-02-01", 1, 2)]
+    assert land("2024-01-20,10") == want
+    # a batch that died before its commit is retried from the state before it
+    drop_folders(spark, [f"{base}/ckpt/commits/1", f"{base}/ckpt/commits/.1.crc"])
+    assert land("2024-03-01,5") == [*want, ("2024-03-01", 1, 5)]
+    assert names_in(spark, f"{base}/staging_state") == ["batch_id=0", "batch_id=1", "batch_id=2"]
+
+
 def test_refresh_query_takes_several_batches(spark, sf_small, monkeypatch):
     from tidewell.plans import registry
     base = shared_dir(spark, "test_refresh_query", fresh=True)
