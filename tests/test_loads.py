@@ -49,7 +49,7 @@ def test_replacement_is_seen_only_when_whole(spark, tmp_path):
     assert sorted(r["odd"] for r in V.read_table(spark, t).collect()) == [0] * 4 + [1] * 3
     assert reader.count() == 7
     V.replace_table(spark.range(1), t)
-    assert len(V.names_in(spark, f"{t}/current", folders=False)) == 2
+    assert len(V.names_in(spark, f"{t}/current", folders=False)) == 3
     with pytest.raises(FileNotFoundError):
         V.read_table(spark, str(tmp_path / "nothing"))
 
@@ -319,3 +319,22 @@ def test_a_failed_rebuild_leaves_the_mart(spark, tmp_path):
         build_from_landing(spark, str(landing), out, ["mart_snowpack_annual_peak"])
     assert M.read_mart(spark, out, "mart_snowpack_annual_peak").first()["peak_swe_in"] == 2.0
     assert M.read_staging(spark, out, "snowpack").count() == 1
+
+
+def test_naming_landed_files_lists_folders_not_each_file(spark, tmp_path, monkeypatch):
+    listed = []
+    monkeypatch.setattr(L, "names_in", lambda s, path, folders=True: listed.append(path) or V.names_in(s, path, folders))
+    for text in ("old", "new"):
+        rows = spark.createDataFrame([(f"page-{i:05d}", f"{text} {i}") for i in range(40)], "name string, value string")
+        assert L.land_named_text(rows, str(tmp_path / "p")) == [f"page-{i:05d}.json" for i in range(40)]
+    got = {r["value"] for r in spark.read.text(str(tmp_path / "p")).collect()}
+    assert got == {f"new {i}" for i in range(40)} and len(listed) <= 4
+
+
+def test_pages_of_many_parts_are_fuller(spark, sf_small, tmp_path, monkeypatch):
+    from tidewell.plans import landing_queries as Q
+    few = Q.feature_load(spark, sf_small).collect()
+    monkeypatch.setattr(Q, "LAYER_PAGES", 3, raising=False)
+    monkeypatch.setattr(Q, "shared_dir", lambda *a, **k: str(tmp_path))
+    assert sorted(Q.feature_load(spark, sf_small).collect()) == sorted(few)
+    assert len(V.names_in(spark, str(tmp_path / "layer"), folders=False)) == 3

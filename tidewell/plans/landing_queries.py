@@ -27,6 +27,7 @@ from tidewell.sources.ledger import STAGE_MONTH, read_staged, stage_new, staged_
 from tidewell.sources.tables import load, table_path
 
 FILE_ROWS = 20_000           # about the rows of one landed file
+LAYER_PAGES = 400            # pages of a layer before they grow beyond 50 features
 
 
 def _refused(run) -> str:
@@ -228,7 +229,9 @@ def _read_parts(spark, folder, page_rows):
 def feature_load(spark, sf_dir) -> DataFrame:
     """Parts as feature pages, loaded into a raw table by one job; a later load of an
     empty layer and one of a layer with a page lost are refused and leave the table."""
-    base, size = shared_dir(spark, "feature_load", fresh=True), 50
+    base = shared_dir(spark, "feature_load", fresh=True)
+    # several pages at every size; many parts come in pages as full as a layer's
+    size = min(max(50, -(-load(spark, sf_dir, "part").count() // LAYER_PAGES)), L.FEATURE_PAGE)
     _part_pages(spark, sf_dir, f"{base}/layer", size)
     L.load_table(_read_parts(spark, f"{base}/layer", size), f"{base}/raw_parts")
     L.land_named_text(spark.createDataFrame([("page-00000", '{"features": []}')], "name string, value string"),

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -253,6 +254,9 @@ def read_features(spark: SparkSession, path: Paths, attributes: T.StructType, gu
 
 
 # ---------------------------------------------------------------------- sinks
+MOVERS = 16                  # landed files named at a time
+
+
 def land_csv_text(df: DataFrame, path: str, compression: str | None = None,
                   max_rows: int = 0) -> None:
     """Write a frame as header CSV with every value as text (optionally
@@ -280,15 +284,24 @@ def _name_files(spark: SparkSession, written: str, folder: str, suffix: str) ->
     at = jvm.org.apache.hadoop.fs.Path
     fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at(folder))
-    names = []
-    for sub in names_in(spark, written):
-        parts = [f for f in names_in(spark, f"{written}/{sub}", folders=False) if f.startswith("part-")]
-        if len(parts) != 1:
-            raise ValueError(f"{sub} has {len(parts)} files")
+    # one listing a folder for all files; only the files of this landing are moved
+    found = {}
+    for status in fs.globStatus(at(f"{written}/name=*/part-*")) or []:
+        found.setdefault(status.getPath().getParent().getName(), []).append(status.getPath())
+    there = set(names_in(spark, folder, folders=False))
+
+    def move(sub: str) -> str:
+        if len(found[sub]) != 1:
+            raise ValueError(f"{sub} has {len(found[sub])} files")
         name = sub.partition("=")[2] + suffix
-        fs.delete(at(f"{folder}/{name}"), False)
-        fs.rename(at(f"{written}/{sub}/{parts[0]}"), at(f"{folder}/{name}"))
-        names.append(name)
+        if name in there:
+            fs.delete(at(f"{folder}/{name}"), False)
+        if not fs.rename(found[sub][0], at(f"{folder}/{name}")):
+            raise OSError(f"{name} could not be landed in {folder}")
+        return name
+    # a move is a call to the store that mostly waits
+    with ThreadPoolExecutor(MOVERS) as pool:
+        names = list(pool.map(move, sorted(found)))
     fs.delete(at(written), True)
     return names
 
