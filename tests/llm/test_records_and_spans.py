@@ -3,15 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import pii_spans as P
 from tidewell.llm import secret_scan as S
 from tidewell.llm import token_records as R
+from tidewell.llm.common import BATCH_LIMIT
 from tidewell.llm.spans import joined
 
 ODD = ["", "a  b", "x \n y", "<|endoftext|> hi <|endoftext|>", " lead", "trail ", " ", "don't 've  won't",
@@ -56,6 +59,45 @@ def test_records_round_trip(make, odd, none):
     assert R.token_records(none).count() == 0
 
 
+def test_encoding_takes_bounded_room():
+    enc = R.PieceEncoder(R.tokenizer_path())
+    text = "zqxjkvwp qzwxvkjq, 48151623 42\n" * 60_000 + "end"
+    enc.encode(pa.array([text[:100]]))
+    tracemalloc.start()
+    ids, _ = enc.encode(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert peak < 10 * len(text)
+
+
+def test_a_word_known_from_a_piece_is_not_kept_twice():
+    enc = R.PieceEncoder(R.tokenizer_path())
+    for text in ("old sea", "old sea, sea\nold", "sea! old."):
+        assert enc.encode(pa.array([text]))[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert len(enc.index) == len(enc.starts) - 1 == len({"old", " sea", " sea,", ",", " sea\nold", "\n", "sea!",
+                                                         "sea", "!", " old.", " old", "."})
+
+
+def test_texts_reach_a_task_in_small_batches(spark, make, tmp_path, monkeypatch):
+    def writer(folder, path):
+        def write(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], t) for x, t in (("f", pa.string()), (0, pa.int32()), (True, pa.bool_()),
+                     (b.num_rows, pa.int64()), (0, pa.int64()), (b.nbytes, pa.int64()), (0, pa.int64()),
+                     (0, pa.int64()))], names=[c.split()[0] for c in R.INDEX.split(", ")])
+        return write
+    monkeypatch.setattr(R, "_writer", writer)
+    before = spark.conf.get(BATCH_LIMIT)
+    docs = make([(1, "a", "a")]).select(F.explode(F.sequence(F.lit(1), F.lit(160))).alias("doc_id"),
+                                        F.repeat(F.lit("word "), 20_000).alias("text"))
+    got = R.write_records(docs, str(tmp_path), R.tokenizer_path()).collect()
+    assert sum(r["doc_id"] for r in got) == 160
+    assert max(r["length"] for r in got) < 5 << 20
+    assert spark.conf.get(BATCH_LIMIT) == before
+
+
 def test_damaged_record_is_refused():
     rec = R._record(True, 5, np.array([1, 2, 3], "<u2"))
     doc_id, ids = R.read_record(rec)
