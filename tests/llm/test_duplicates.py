@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewell.llm import benchmark_decontamination as B
@@ -252,3 +253,25 @@ def test_seeds_carry_no_words_of_their_items(spark, make):
     assert seeds.count() > 50_000 and sum({"bigint": 8, "int": 4}[t] for _, t in seeds.dtypes) <= 24
     docs = make([(i, " ".join(prose(rnd, 20) + w[700:760] + prose(rnd, 20)), "a") for i, w in enumerate(items)])
     assert {(r["doc_id"], r["item_id"]) for r in B.leaks(docs, bench).collect()} == {(i, i) for i in range(10)}
+
+
+def test_words_of_a_document_are_made_once(spark, make):
+    rnd = random.Random(7)
+    items = [prose(rnd, n) for n in (2, 9, 40)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    docs = make([(i, " ".join(prose(rnd, 20) + w), "a") for i, w in enumerate(items)]
+                + [(7, "alone", "a"), (8, "", "a"), (9, None, "a"), (10, " ".join(items[0]), "a")])
+    found = B.leaks(docs, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and "BroadcastHashJoin [_tw_hash" in plan
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (1, 1), (2, 2), (10, 0)}
+
+
+def test_unspaced_scripts_lie_in_the_range_tested_first(spark):
+    scripts = "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    d = spark.createDataFrame([(every,)], "t string")
+    plain = "[" + "".join(rf"\p{{Is{s}}}" for s in scripts) + "]"
+    rest, same = d.select(*[F.regexp_replace("t", p, "") for p in (plain, B.UNSPACED)]).first()
+    assert rest == same and len(rest) < len(every)
+    assert B.UNSPACED.startswith(r"[\x{E01}-")

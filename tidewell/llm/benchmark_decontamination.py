@@ -2,8 +2,8 @@
 
 A seed is a window of words of which a fixed mask looks only at some, so a hit
 survives substitutions at the ignored places.  Seeds of the benchmark items
-(test) are joined with seeds of every document position (training) on
-(mask, hash).  Around each hit the item is laid over the document along the
+(test) are joined with seeds of every document position (training) on a hash of
+the mask and its words, one 64-bit key.  Around each hit the item is laid over the document along the
 hit's diagonal and compared word by word; the overlap counts when at least
 ``MIN_MATCH`` per cent agree
 * of the whole item's words, or
@@ -21,7 +21,7 @@ words are matched whole; a single word is no evidence of a leak and is not searc
 
 The document side never shuffles its texts: positions are exploded, probed
 against a broadcast block of benchmark seeds and verified in one stage.  A seed is
-a mask, a hash, an item's number and a position, some 30 bytes; the items' words are
+a hash, an item's number and a position, some 30 bytes; the items' words are
 broadcast once an item, beside them, and meet only the hits.  A block holds the seeds
 of whole items, about ``BLOCK_SEEDS``, so it takes some 20 MB whatever the items'
 lengths; a larger benchmark is taken in as many blocks as it needs, one pass over
@@ -48,8 +48,9 @@ from tidewell.sources.tables import load
 MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6), (0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1))
 LIGHT_BELOW = 25
 LEAST_WORDS = 2
-# letters that stand side by side without being one word
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# letters that stand side by side without being one word; all lie from U+0E01 on, and the range is
+# tested first, as asking for a character's script is slow
+UNSPACED = r"[\x{E01}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
 MIN_MATCH = 70
 RUN = 13
 BLOCK_SEEDS = 500_000
@@ -69,16 +70,16 @@ def norm_words(c: Column) -> Column:
 
 def _seeded(d: DataFrame, masks, words: str) -> DataFrame:
     """One row per position and mask that fits the word hashes ``words``: adds
-    _tw_pos, _tw_mask and _tw_hash."""
+    _tw_pos and _tw_hash, which the mask's number is part of."""
     h, pos = F.col(words), F.col("_tw_pos")
 
     def seed(m):
         return F.xxhash64(F.lit(m), *[F.get(h, pos + o) for o in MASKS[m]])
-    fits = F.array(*[F.struct(F.lit(m).alias("m"), F.when(
-        pos + MASKS[m][-1] < F.size(h), seed(m)).alias("s")) for m in masks])
-    return d.withColumn("_tw_pos", F.explode(F.sequence(F.lit(0), F.size(h) - 1))) \
-        .withColumn("_tw_seed", F.explode(fits)).where("_tw_seed.s is not null") \
-        .select(*d.columns, pos, F.col("_tw_seed.m").alias("_tw_mask"), F.col("_tw_seed.s").alias("_tw_hash"))
+    fits = F.array(*[F.when(pos + MASKS[m][-1] < F.size(h), seed(m)) for m in masks])
+    # no filter on the number of words: it would move down and make the words a second time
+    starts = F.when(F.size(h) >= LEAST_WORDS, F.sequence(F.lit(0), F.size(h) - LEAST_WORDS))
+    return d.withColumn("_tw_pos", F.explode(starts)) \
+        .withColumn("_tw_hash", F.explode(fits)).where("_tw_hash is not null")
 
 
 def benchmark_items(bench: DataFrame, text: str = "text") -> DataFrame:
@@ -93,8 +94,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
     n = F.size("_tw_iw")
     parts = [(n >= LIGHT_BELOW, LIGHT_BELOW), ((n > 2) & (n < LIGHT_BELOW), 3), (n == LEAST_WORDS, LEAST_WORDS)]
     return reduce(DataFrame.unionByName, [
-        _seeded(items.where(which), masks_of(least), "_tw_iw") for which, least in parts]) \
-        .select("_tw_no", F.col("_tw_pos").alias("_tw_ipos"), "_tw_mask", "_tw_hash")
+        _seeded(items.where(which), masks_of(least), "_tw_iw").withColumn("_tw_least", F.lit(least))
+        for which, least in parts]) \
+        .select("_tw_no", F.col("_tw_pos").alias("_tw_ipos"), "_tw_least", "_tw_hash")
 
 
 def _verified(hits: DataFrame) -> DataFrame:
@@ -138,16 +140,13 @@ def _hits(docs: DataFrame, bench: DataFrame, cols) -> DataFrame:
     items = store(benchmark_items(bench), "items")
     seeds = store(item_seeds(items), "seeds")
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    masks = [r._tw_mask for r in seeds.select("_tw_mask").distinct().collect()]
-    if not masks:
-        masks = [0]
-    d = docs.select(*cols, norm_words(text_or_empty("text")).alias("_tw_h")) \
-        .where(F.size("_tw_h") >= LEAST_WORDS)
-    d = _seeded(d, sorted(masks), "_tw_h")
+    masks = [m for r in seeds.select("_tw_least").distinct().collect() for m in masks_of(r._tw_least)]
+    d = docs.select(*cols, norm_words(text_or_empty("text")).alias("_tw_h"))
+    d = _seeded(d, sorted(masks) or [0], "_tw_h")
 
     def block(b):
         mine = F.pmod(F.col("_tw_no"), F.lit(blocks)) == b
-        return _verified(d.join(F.broadcast(seeds.where(mine)), ["_tw_mask", "_tw_hash"])
+        return _verified(d.join(F.broadcast(seeds.where(mine).drop("_tw_least")), "_tw_hash")
                          .join(F.broadcast(items.where(mine)), "_tw_no"))
     return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)])
 
