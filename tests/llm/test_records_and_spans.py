@@ -79,6 +79,19 @@ def test_a_word_known_from_a_piece_is_not_kept_twice():
                                                          "sea", "!", " old.", " old", "."})
 
 
+def test_a_full_table_keeps_the_pieces_in_use(monkeypatch):
+    monkeypatch.setattr(R, "CACHE_PIECES", 40)
+    enc, asked = R.PieceEncoder(R.tokenizer_path()), []
+    ids_of = enc.ids_of
+    monkeypatch.setattr(enc, "ids_of", lambda texts: asked.extend(texts) or ids_of(texts))
+    rnd = random.Random(4)
+    for _ in range(30):
+        text = "often, the same. " + " ".join("".join(rnd.choices("abcdeü", k=7)) + rnd.choice("x,.!") for _ in range(9))
+        assert enc.encode(pa.array([text]))[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+        assert len(enc.index) <= 70 and len(enc.index) == len(enc.starts) - 1
+    assert sum("often" in t or " same" in t for t in asked) == 2
+
+
 def test_texts_reach_a_task_in_small_batches(spark, make, tmp_path, monkeypatch):
     def writer(folder, path):
         def write(batches):
