@@ -267,6 +267,51 @@ def test_words_of_a_document_are_made_once(spark, make):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (1, 1), (2, 2), (10, 0)}
 
 
+def test_a_hit_holds_words_of_its_item_and_not_the_document(spark, make):
+    rnd = random.Random(8)
+    items = [prose(rnd, n, 50000) for n in (5, 30)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    held = sum([prose(rnd, 300) + items[i % 2] for i in range(20)], [])
+    hits = B._hits(make([(0, " ".join(held), "a")]), bench, [F.col("doc_id")])
+    most, n = hits.select(F.max(F.size("_tw_h") - F.size("_tw_iw")), F.count("*")).first()
+    assert n >= 10 * (5 - 3 + 30 - 4) and most == 2          # before: about 6,000 words a hit
+
+
+def test_leaks_are_the_same_in_segments_of_any_length(spark, make, monkeypatch):
+    rnd = random.Random(9)
+    items = [prose(rnd, n, 60) for n in (2, 3, 4, 7, 20, 24, 26, 40)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    docs = [[]] + [prose(rnd, n, 60) for n in (1, 2, 3, 90)]
+    for w in items:
+        cut = rnd.randrange(len(w))
+        docs += [w, w[:cut] + w[cut + 1:], w + prose(rnd, 9, 60), prose(rnd, 9, 60) + w,
+                 prose(rnd, rnd.randrange(70), 60) + w[:cut] + ["new"] + w[cut:] + prose(rnd, rnd.randrange(70), 60)]
+    docs = make([(i, " ".join(w), "a") for i, w in enumerate(docs)]).cache()
+
+    def found():
+        return sorted(map(tuple, B.leaks(docs, bench).collect()))
+    whole = found()
+    assert {(5 + 5 * i, i) for i in range(8)} <= {r[:2] for r in whole}
+    monkeypatch.setattr(B, "SEGMENT", 3)
+    assert found() == whole
+
+
+def test_words_are_the_same_in_pieces_of_any_length(spark, make, monkeypatch):
+    rnd = random.Random(10)
+    marks = ["\n", "\r\n ", "-", "'", " … ", "😀", "\u2028", ""]
+    texts = ["", " ", "a", "—" * 40, "İ" * 50 + "𐐀𐐁 猫が窓", "x" * 70 + " " + "é2" * 30, None]
+    texts += ["".join(rnd.choice(["Wort", "two2", "ΟΔΟΣ", "猫が", "ก", "e\u0301", *marks]) for _ in range(200)) for _ in range(4)]
+    docs = make([(i, t, "a") for i, t in enumerate(texts)])
+
+    def words():
+        return docs.select(B.norm_words(B.text_or_empty("text"))).collect()
+    whole = words()
+    assert len(whole[-1][0]) > 50 and whole[0][0] == []
+    for piece in (1, 5):
+        monkeypatch.setattr(B, "PIECE", piece)
+        assert words() == whole
+
+
 def test_unspaced_scripts_lie_in_the_range_tested_first(spark):
     scripts = "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))

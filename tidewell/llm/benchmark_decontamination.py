@@ -20,7 +20,11 @@ item of three or more words of which ``MIN_MATCH`` per cent agree.  Items of two
 words are matched whole; a single word is no evidence of a leak and is not searched for.
 
 The document side never shuffles its texts: positions are exploded, probed
-against a broadcast block of benchmark seeds and verified in one stage.  A seed is
+against a broadcast block of benchmark seeds and verified in one stage.  Spark keeps all
+hits of a row until the row is done, so a document is taken in segments of ``SEGMENT``
+words (half the longest item, if that is more), which hold as many words of the document on
+either side as the longest item has; a hit then takes along as many words of the document
+as its item has, and two, not the document.  A seed is
 a hash, an item's number and a position, some 30 bytes; the items' words are
 broadcast once an item, beside them, and meet only the hits.  A block holds the seeds
 of whole items, about ``BLOCK_SEEDS``, so it takes some 20 MB whatever the items'
@@ -54,6 +58,8 @@ UNSPACED = r"[\x{E01}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsTha
 MIN_MATCH = 70
 RUN = 13
 BLOCK_SEEDS = 500_000
+SEGMENT = 1024
+PIECE = 65_536
 
 
 def masks_of(n: int) -> list[int]:
@@ -62,22 +68,47 @@ def masks_of(n: int) -> list[int]:
 
 
 def norm_words(c: Column) -> Column:
-    """64-bit hashes of the lower-cased runs of letters and digits."""
-    low = F.lower(c)
-    low = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
-    return F.transform(F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
-
-
-def _seeded(d: DataFrame, masks, words: str) -> DataFrame:
-    """One row per position and mask that fits the word hashes ``words``: adds
+    """64-bit hashes of the lower-cased runs of letters and digits.  A long text is cut into
+    words a piece at a time, as its words take some 20 times the memory of their hashes;
+    a piece ends where a word does."""
+    piece = f"(?s).{{1,{PIECE}}}" + r"[\p{L}\p{N}]*+"
+
+    def spaced(low):
+        return F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+
+    def hashes(t):
+        cut = F.when(F.length(t) > PIECE, F.regexp_extract_all(t, F.lit(piece), F.lit(0))).otherwise(F.array(t))
+        return F.flatten(F.transform(cut, lambda p: F.transform(
+            F.array_remove(F.split(p, r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))))
+    return let(F.lower(c), lambda low: let(spaced(low), hashes))
+
+
+def _segments(d: DataFrame, longest: int) -> DataFrame:
+    """Replace the word hashes _tw_h of a document by those of each of its segments in turn,
+    with ``longest`` words on either side: adds _tw_from, the place of the first word, and
+    _tw_first and _tw_last, the positions in _tw_h at which the segment's own seeds start."""
+    own, n = max(SEGMENT, longest // 2), F.size("_tw_h")
+
+    def segment(s):
+        at = F.greatest(s - longest, F.lit(0))
+        return F.struct(at.alias("at"), (s - at).alias("first"),
+                        (F.least(s + own, n - (LEAST_WORDS - 1)) - 1 - at).alias("last"),
+                        F.slice("_tw_h", at + 1, s - at + own + longest).alias("words"))
+    cut = F.when(n >= LEAST_WORDS, F.transform(F.sequence(F.lit(0), n - LEAST_WORDS, F.lit(own)), segment))
+    rest = [c for c in d.columns if c != "_tw_h"]
+    return d.select(*rest, F.explode(cut).alias("_tw_s")).select(
+        *rest, F.col("_tw_s.at").alias("_tw_from"), F.col("_tw_s.first").alias("_tw_first"),
+        F.col("_tw_s.last").alias("_tw_last"), F.col("_tw_s.words").alias("_tw_h"))
+
+
+def _seeded(d: DataFrame, masks, words: str, starts: Column) -> DataFrame:
+    """One row per position of ``starts`` and mask that fits the word hashes ``words``: adds
     _tw_pos and _tw_hash, which the mask's number is part of."""
     h, pos = F.col(words), F.col("_tw_pos")
 
     def seed(m):
         return F.xxhash64(F.lit(m), *[F.get(h, pos + o) for o in MASKS[m]])
     fits = F.array(*[F.when(pos + MASKS[m][-1] < F.size(h), seed(m)) for m in masks])
-    # no filter on the number of words: it would move down and make the words a second time
-    starts = F.when(F.size(h) >= LEAST_WORDS, F.sequence(F.lit(0), F.size(h) - LEAST_WORDS))
     return d.withColumn("_tw_pos", F.explode(starts)) \
         .withColumn("_tw_hash", F.explode(fits)).where("_tw_hash is not null")
 
@@ -92,9 +123,10 @@ def benchmark_items(bench: DataFrame, text: str = "text") -> DataFrame:
 
 def item_seeds(items: DataFrame) -> DataFrame:
     n = F.size("_tw_iw")
+    starts = F.when(n >= LEAST_WORDS, F.sequence(F.lit(0), n - LEAST_WORDS))
     parts = [(n >= LIGHT_BELOW, LIGHT_BELOW), ((n > 2) & (n < LIGHT_BELOW), 3), (n == LEAST_WORDS, LEAST_WORDS)]
     return reduce(DataFrame.unionByName, [
-        _seeded(items.where(which), masks_of(least), "_tw_iw").withColumn("_tw_least", F.lit(least))
+        _seeded(items.where(which), masks_of(least), "_tw_iw", starts).withColumn("_tw_least", F.lit(least))
         for which, least in parts]) \
         .select("_tw_no", F.col("_tw_pos").alias("_tw_ipos"), "_tw_least", "_tw_hash")
 
@@ -102,15 +134,22 @@ def item_seeds(items: DataFrame) -> DataFrame:
 def _verified(hits: DataFrame) -> DataFrame:
     """Lay the item over the document along the diagonal and count equal words.
 
+    Of the document a hit keeps the words from the one before the item to the one after it.
     The test sits in a generator, after the join: as a filter it would move
-    into the join, which would then copy a document's words for every position.
+    into the join, which would then copy a segment's words for every position.
     """
-    start, words, at = F.col("_tw_pos") - F.col("_tw_ipos"), F.col("_tw_iw"), F.col("_tw_ipos")
+    words, at = F.col("_tw_iw"), F.col("_tw_ipos")
     n = F.size(words)
+    lies = F.col("_tw_pos") - at
+    left = F.greatest(lies - 1, F.lit(0))
+    here = F.slice("_tw_h", left + 1, lies + 1 + n - left)
+    hits = hits.withColumns({"_tw_h": here, "_tw_lead": lies - left, "_tw_at": F.col("_tw_from") + lies}) \
+        .drop("_tw_pos", "_tw_from", "_tw_first", "_tw_last", "_tw_hash")
+    start, lead = F.col("_tw_at"), F.col("_tw_lead")
 
     def agree(i, shift=0):
-        return F.coalesce((start + i + shift >= 0)
-                          & (F.get(F.col("_tw_h"), start + i + shift) == F.get(words, i)), F.lit(False))
+        return F.coalesce((lead + i + shift >= 0)
+                          & (F.get(F.col("_tw_h"), lead + i + shift) == F.get(words, i)), F.lit(False))
 
     def enough(count, of):
         return count * 100 >= of * MIN_MATCH
@@ -141,8 +180,11 @@ def _hits(docs: DataFrame, bench: DataFrame, cols) -> DataFrame:
     seeds = store(item_seeds(items), "seeds")
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     masks = [m for r in seeds.select("_tw_least").distinct().collect() for m in masks_of(r._tw_least)]
+    longest = items.select(F.max(F.size("_tw_iw"))).first()[0] or 0
     d = docs.select(*cols, norm_words(text_or_empty("text")).alias("_tw_h"))
-    d = _seeded(d, sorted(masks) or [0], "_tw_h")
+    # no filter on the number of words: it would move down and make the words a second time
+    d = _seeded(_segments(d, longest), sorted(masks) or [0], "_tw_h",
+                F.sequence(F.col("_tw_first"), F.col("_tw_last")))
 
     def block(b):
         mine = F.pmod(F.col("_tw_no"), F.lit(blocks)) == b
